@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import byte_bpe, line_dedup, mixing, quality, simhash, token_files, toxicity
+from pagemill.llm import byte_bpe, cap_filters, flac, html_text, line_dedup, mixing, quality, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
     return byte_bpe.digests(encoded, path, public_tokenizers.PATTERN)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(flac.with_media(_table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
 
