@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pagemill.llm.components import connected_components
 from pagemill.llm.shared import cut
 
-ALL = 0xFFFFFFFFFFFFFFFF
 _LANES = np.uint64(0x0001000100010001)
 
 
@@ -38,13 +37,23 @@ def _hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
 
 
-def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """A fingerprint for each text: a bit is set if it is set in over half of the hashes of its shingles."""
+def _word(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes that decide a fingerprint's k-th 64 bits: h itself, then further mixes of it."""
+    if not k:
+        return h
+    h = (h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints(texts: list[bytes], width: int = 3, words: int = 1) -> np.ndarray:
+    """Fingerprints (texts x words of 64 bits): a bit is set if it is set in over half of the hashes of a text's shingles."""
     each = [_hashes(t, width) for t in texts]
     n = np.array([len(h) for h in each], np.int64)
-    h = np.concatenate(each) if each else np.empty(0, np.uint64)
-    if not len(h):
-        return np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), words), np.uint64)
+    if not n.sum():
+        return out
+    all_h = np.concatenate(each)
     # Four 16-bit counters share a word, so no run that is summed at once may be longer than 65535.
     begin = np.concatenate([[0], np.cumsum(n)[:-1]])
     cuts, owner = [], []
@@ -53,46 +62,68 @@ def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
         cuts.append(part)
         owner.append(np.full(len(part), i))
     cuts, owner = np.concatenate(cuts), np.concatenate(owner)
-    out = np.zeros(len(texts), np.uint64)
-    for j in range(16):
-        sums = np.add.reduceat((h >> np.uint64(j)) & _LANES, cuts)
-        for lane in range(4):
-            count = np.bincount(owner, ((sums >> np.uint64(16 * lane)) & np.uint64(0xFFFF)).astype(np.float64), len(texts))
-            out |= (2 * count > n).astype(np.uint64) << np.uint64(16 * lane + j)
+    for k in range(words):
+        h = _word(all_h, k)
+        for j in range(16):
+            sums = np.add.reduceat((h >> np.uint64(j)) & _LANES, cuts)
+            for lane in range(4):
+                count = np.bincount(owner, ((sums >> np.uint64(16 * lane)) & np.uint64(0xFFFF)).astype(np.float64), len(texts))
+                out[:, k] |= (2 * count > n).astype(np.uint64) << np.uint64(16 * lane + j)
     return out
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 3) -> DataFrame:
-    """The columns in keep and fp, the fingerprint as a signed long; a null text counts as empty (fingerprint 0)."""
+def _to_arrow(fps: np.ndarray) -> pa.Array:
+    """Fingerprints as big-endian binary."""
+    size = 8 * fps.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(fps), [None, pa.py_buffer(fps.astype(">u8").tobytes())]).cast(pa.binary())
+
+
+def _from_arrow(fps: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 3, words: int = 1) -> DataFrame:
+    """The columns in keep and fp, the fingerprint as binary; a null text counts as empty (fingerprint 0)."""
     kept = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, fps = b.column(b.num_columns - 1), []
-            for at in range(0, b.num_rows, 500):
-                fps.append(fingerprints(texts.slice(at, 500).to_pylist(), width))
-            fp = np.concatenate(fps) if fps else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], [*keep, "fp"])
+            texts = b.column(b.num_columns - 1)
+            fps = [fingerprints(texts.slice(at, 500).to_pylist(), width, words) for at in range(0, b.num_rows, 500)]
+            fp = np.concatenate(fps) if fps else np.empty((0, words), np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _to_arrow(fp)], [*keep, "fp"])
 
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", fp bigint"
+    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", fp binary"
     return kept.mapInArrow(run, schema)
 
 
-def distance(a: np.ndarray, b: np.ndarray | np.uint64, mask: int = ALL) -> np.ndarray:
-    return np.bitwise_count((a ^ b) & np.uint64(mask)).astype(np.int16)
+def distance(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Differing bits of fingerprints, of those in mask only if it is given."""
+    differ = a ^ b if mask is None else (a ^ b) & mask
+    return np.bitwise_count(differ).sum(-1, dtype=np.int16)
+
+
+def part_masks(words: int, parts: int) -> list[np.ndarray]:
+    """Masks that deal a fingerprint's bits into equal runs; parts is a power of two and at least words."""
+    size = 64 * words // parts
+    run = np.uint64((1 << size) - 1)
+    masks = np.zeros((parts, words), np.uint64)
+    for k in range(parts):
+        masks[k, k * size // 64] = run << np.uint64(k * size % 64)
+    return list(masks)
 
 
 class VantageTree:
     """A tree over 64-bit fingerprints; it is built from a sample, which decides only how evenly the shards fill."""
 
-    def __init__(self, sample: np.ndarray, measures: list[tuple[int, int]], leaf: int, seed: int = 42):
+    def __init__(self, sample: np.ndarray, measures: list[tuple[np.ndarray | None, int]], leaf: int, seed: int = 42):
         """measures: (mask, radius) pairs, the first that splits a node is taken."""
-        self.nodes: list[tuple[int, int, int, int, int, int]] = []  # vantage, mask, radius, mu, inner, outer
+        self.nodes: list[tuple] = []  # (vantage, mask, radius, mu, inner, outer)
         self.leaves = 0
         rng = np.random.default_rng(seed)
         self.root = self._grow(sample, measures, leaf, rng, 0)
 
-    def _grow(self, x: np.ndarray, measures: list[tuple[int, int]], leaf: int, rng, depth: int) -> int:
+    def _grow(self, x: np.ndarray, measures: list[tuple[np.ndarray | None, int]], leaf: int, rng, depth: int) -> int:
         """A node's number, or -1 - its number for a leaf."""
         if len(x) > leaf and depth < 40:
             for mask, r in measures:
@@ -104,11 +135,11 @@ class VantageTree:
                     inner = int((d <= mu).sum())
                     overlap = int(((d - r <= mu) & (d + r > mu)).sum())
                     if min(inner, len(x) - inner) * 8 >= len(x) and (best is None or overlap < best[0]):
-                        best = (overlap, int(vantage), mu, d <= mu)
+                        best = (overlap, vantage, mu, d <= mu)
                 if best is not None:
                     _, vantage, mu, near = best
                     at = len(self.nodes)
-                    self.nodes.append((0, 0, 0, 0, 0, 0))
+                    self.nodes.append(())
                     inner = self._grow(x[near], measures, leaf, rng, depth + 1)
                     outer = self._grow(x[~near], measures, leaf, rng, depth + 1)
                     self.nodes[at] = (vantage, mask, r, mu, inner, outer)
@@ -127,7 +158,7 @@ class VantageTree:
                 found.append((rows, np.full(len(rows), -1 - node), home))
                 continue
             vantage, mask, r, mu, inner, outer = self.nodes[node]
-            d = distance(fps[rows], np.uint64(vantage), mask)
+            d = distance(fps[rows], vantage, mask)
             for child, visit, own in ((inner, d - r <= mu, d <= mu), (outer, d + r > mu, d > mu)):
                 work.append((child, rows[visit], (home & own)[visit]))
         if not found:
@@ -179,68 +210,70 @@ def search(members: np.ndarray, queries: np.ndarray, fps: np.ndarray, radius: in
         step = max(1, 2_000_000 // len(m))
         for at in range(0, len(q), step):
             part = q[at : at + step]
-            a, b = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[m][None, :]) <= radius)
+            differ = sum(np.bitwise_count(fps[part, k][:, None] ^ fps[m, k][None, :]).astype(np.uint8) for k in range(fps.shape[1]))
+            a, b = np.nonzero(differ <= radius)
             found(part[a], m[b])
 
 
-def links(fps: DataFrame, radius: int = 3, parts: int = 2, leaf: int = 128, sample: int = 16384, max_leaves: int = 4096) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, near: int | None = None, leaf: int = 128, sample: int = 16384, max_leaves: int = 4096) -> DataFrame:
     """(src, dst) links that span the components of fps(fp, rep), whose fp are distinct and rep are its node numbers.
 
-    Exact for every size: the bounded sample of fingerprints (those with the smallest hash) only places the cuts.
-    Each shard joins what it finds and returns at most one link for each of its fingerprints, never all pairs.
+    Each tree searches its part of the bits within `near` bits, radius // parts unless given; with that, no pair is missed.
+    The bounded sample of fingerprints (those with the smallest hash) only places the cuts. Each shard joins what it
+    finds and returns at most one link for each of its fingerprints, never all pairs.
     """
     n = fps.count()
-    rows = fps.select("fp").orderBy(F.xxhash64(F.lit(5), "fp"), "fp").limit(sample).collect()
-    drawn = np.array([r.fp for r in rows], np.int64).view(np.uint64)
+    rows = fps.select("fp").orderBy(F.xxhash64(F.lit(5), "fp"), "fp").limit(sample).toArrow()
+    drawn = _from_arrow(rows.column("fp"), words)
     size = max(4, len(drawn) // max(1, min(max_leaves, -(-n // leaf))))
-    width = 64 // parts
-    masks = [((1 << width) - 1) << (width * k) for k in range(parts - 1)]
-    masks.append(ALL ^ sum(masks))
-    trees = [VantageTree(drawn, [(mask, radius // parts), (ALL, radius)], size) for mask in masks]
+    near = radius // parts if near is None else near
+    trees = [VantageTree(drawn, [(mask, near), (None, radius)], size) for mask in part_masks(words, parts)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 20000):
                 part = b.slice(at, 20000)
-                fp, rep = (np.asarray(part.column(i)) for i in (0, 1))
+                fp, rep = _from_arrow(part.column(0), words), np.asarray(part.column(1))
                 for k, tree in enumerate(trees):
-                    i, shard, home = tree.route(fp.view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(shard * len(trees) + k), pa.array(fp[i]), pa.array(rep[i]), pa.array(home)], ["shard", "fp", "rep", "home"])
+                    i, shard, home = tree.route(fp)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard * len(trees) + k), _to_arrow(fp[i]), pa.array(rep[i]), pa.array(home)], ["shard", "fp", "rep", "home"])
 
     def pairs(group: pa.Table) -> pa.Table:
-        fp = np.asarray(group.column("fp")).view(np.uint64)
         rep, home = np.asarray(group.column("rep")), np.asarray(group.column("home").combine_chunks())
-        sets = _Sets(len(fp))
         order = np.argsort(rep, kind="stable")  # so that a set's label is its smallest node
-        fp, rep, home = fp[order], rep[order], home[order]
+        fp, rep, home = _from_arrow(group.column("fp"), words)[order], rep[order], home[order]
+        sets = _Sets(len(fp))
         search(np.flatnonzero(home), np.arange(len(fp)), fp, radius, sets.join)
         moved = np.flatnonzero(sets.label != np.arange(len(fp)))
         return pa.table({"src": pa.array(rep[moved]), "dst": pa.array(rep[sets.label[moved]])})
 
-    routed = fps.select("fp", "rep").mapInArrow(route, "shard bigint, fp bigint, rep bigint, home boolean")
+    routed = fps.select("fp", "rep").mapInArrow(route, "shard bigint, fp binary, rep bigint, home boolean")
     return routed.groupBy("shard").applyInArrow(pairs, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of docs.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, words: int = 1, parts: int = 2, near: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits for each word) and component_id of every row of docs.
 
-    Words are runs of anything but \\x20 and \\x09-\\x0D after lower-casing A-Z; a text shorter than a shingle is one
-    shingle; a null or empty text has fingerprint zero and is linked like any other. component_id is the smallest
+    A text's words are runs of anything but \\x20 and \\x09-\\x0D after lower-casing A-Z; a text shorter than a shingle is
+    one shingle; a null or empty text has fingerprint zero and is linked like any other. component_id is the smallest
     doc_id reachable over links. Repeated rows each come back; a row without a doc_id comes back with the component of
     its fingerprint and is never a component's name (null if no row with an id is reachable). Other columns are not read.
     """
-    signed = cut(with_fingerprint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), width=width))
+    signed = cut(with_fingerprint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), width=width, words=words))
     distinct = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups = connected_components(links(distinct.filter("rep is not null"), radius))
+    groups = connected_components(links(distinct.filter("rep is not null"), radius, words, parts, near))
     named = cut(distinct.join(groups, distinct.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return signed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return signed.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, width: int = 5, radius: int = 24, words: int = 2, parts: int = 8, near: int = 1) -> DataFrame:
     """The rows of docs, in their own columns, of one document of each near-duplicate group: its smallest doc_id.
 
-    Rows that repeat the kept doc_id stay, and so do rows without a doc_id, which no rule can choose between.
+    Shingles of five words and 128-bit fingerprints: texts whose shingles are similar to 0.8 (shared / all) differ in 19
+    bits on average, with a deviation of 4, so 24 bits take in most of them and next to none below 0.65. Eight trees
+    that search one differing bit in 16 miss a few of the pairs near 0.8 (see the tests for shares found). Rows that
+    repeat the kept doc_id stay, and so do rows without a doc_id, which no rule can choose between.
     """
-    found = near_duplicates(docs, width=width, radius=radius)
+    found = near_duplicates(docs, width=width, radius=radius, words=words, parts=parts, near=near)
     gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
