@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Prefixes of null, empty and data segments; the marker of a chunk with more behind it.
 NULL, EMPTY, DATA, MORE = "00", "40", "7F", "09"
@@ -47,14 +48,14 @@ def raw_datetime(bits: Column) -> Column:
     return _segment(bits, _padded(F.when(wide < 0, F.bitwise_not(wide)).otherwise(wide.bitwiseXOR(F.lit(SIGN64))), 16))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def double_bits(value: pd.Series) -> pd.Series:
     """The bits of doubles as longs; null stays null."""
     bits = pd.Series(value.to_numpy(np.float64, na_value=np.nan).view(np.int64)).astype("Int64")
     return bits.mask(value.isna().to_numpy())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def float_bits(value: pd.Series) -> pd.Series:
     """The bits of floats as non-negative longs; null stays null."""
     bits = pd.Series(value.to_numpy(np.float32, na_value=np.nan).view(np.uint32).astype(np.int64)).astype("Int64")

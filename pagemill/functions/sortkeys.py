@@ -7,6 +7,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Fixed values of the key's layout: between levels, and at the end.
 LEVEL, END = b"\x01", b"\x00"
@@ -32,7 +33,7 @@ def sort_key(weights: Mapping[str, tuple[bytes, int, int]], ignore_case: bool =
         cases = b"" if ignore_case else trimmed([c for _, _, c in found])
         return b"".join(p for p, _, _ in found) + LEVEL + marks + LEVEL + cases + LEVEL + LEVEL + END
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BinaryType())
     def key(values: pd.Series) -> pd.Series:
         return values.map(one, na_action="ignore")
 

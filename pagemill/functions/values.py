@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: Code pages and their encodings; ticks of 100 ns from 1601 to 1970.
 CODE_PAGES = {1200: "utf-16-le", 1252: "cp1252", 20127: "ascii"}
@@ -39,7 +40,7 @@ def decode_text(page: int = 1252, errors: str = "backslashreplace"):
             raw += b"\0"
         return raw.decode(encoding, errors).rstrip("\0")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def decode(values: pd.Series) -> pd.Series:
         return values.map(one, na_action="ignore")
 
@@ -51,13 +52,13 @@ def utf16_text(raw: Column) -> Column:
     return F.rtrim(F.decode(raw, "UTF-16LE"), F.lit("\0"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ip_text(raw: pd.Series) -> pd.Series:
     """4 or 16 bytes as an address's text; other lengths give null."""
     return raw.map(lambda b: str(ipaddress.ip_address(bytes(b))) if len(b) in (4, 16) else None, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sid_text(raw: pd.Series) -> pd.Series:
     """A security identifier's bytes as S-revision-authority-subauthorities; short input gives null."""
 
@@ -153,7 +154,7 @@ def decompress_value(raw: bytes) -> bytes:
     return raw
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def decompress(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: decompress_value(bytes(b)), na_action="ignore")
 

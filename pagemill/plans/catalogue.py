@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pagemill.functions import keys, values
 from pagemill.operators import catalog, longvalues
@@ -387,7 +388,7 @@ def compat_hex(t):
     return t("part").select("p_partkey", F.lower(F.hex(F.col("p_name").cast("binary"))).alias("stored"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _bits_to_double(bits: pd.Series) -> pd.Series:
     return pd.Series(bits.to_numpy(np.int64).view(np.float64))
 
@@ -402,13 +403,13 @@ def double_bits_round_trip(t):
 
 @_query(
     "ual_activity",
-    "SELECT user_id, 2024 AS y, dayofmonth(ts)::INTEGER AS day, CAST(make_date(2024, 1, 1) + (dayofmonth(ts) - 1)::INTEGER AS DATE) AS date, count(*) AS count FROM events WHERE dayofmonth(ts) <= 20 GROUP BY user_id, dayofmonth(ts)",
+    "SELECT user_id, dayofmonth(ts)::INTEGER AS day, CAST(make_date(2024, 1, 1) + (dayofmonth(ts) - 1)::INTEGER AS DATE) AS date, count(*) AS count FROM events WHERE dayofmonth(ts) <= 20 GROUP BY user_id, dayofmonth(ts)",
 )
 def ual_activity(t):
     days = list(range(1, 21))
     wide = t("events").withColumn("d", F.dayofmonth("ts")).groupBy("user_id").pivot("d", days).agg(F.count(F.lit(1)))
     named = wide.select("user_id", F.lit(2024).alias("y"), *[F.coalesce(F.col(f"`{d}`"), F.lit(0)).alias(f"Day{d}") for d in days])
-    return ual.activity(named, ["user_id"], "y")
+    return ual.activity(named, ["user_id"], "y").select("user_id", "day", "date", "count")
 
 
 @_query(
