@@ -43,6 +43,11 @@ def cut_bytes(buf: Column, at: Column, size: Column) -> Column:
     return F.substring(buf, (at + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int"))
 
 
+def hold(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that later expressions refer to, rather than repeat: a generated row is never inlined."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def has(flags: Column, mask: int) -> Column:
     return flags.bitwiseAND(F.lit(mask)) != 0
 
@@ -85,7 +90,7 @@ def page_headers(found: DataFrame) -> DataFrame:
     """pages() with prev_page, next_page, owner, flags, reserved_tags, tag_count, node_count and the flags' predicates."""
     b = F.col("buf")
     state = u(b, 34, 2)
-    out = found.select("*", u(b, 16, 4).alias("prev_page"), u(b, 20, 4).alias("next_page"), u(b, 24, 4).alias("owner"), u(b, 36, 4).alias("flags"), state.alias("_state"))
+    out = hold(found, prev_page=u(b, 16, 4), next_page=u(b, 20, 4), owner=u(b, 24, 4), flags=u(b, 36, 4), _state=state)
     reserved = F.shiftright("_state", 12)
     out = out.withColumn("reserved_tags", F.when(reserved == 0, 1).otherwise(reserved).cast("int")).withColumn("tag_count", F.col("_state").bitwiseAND(F.lit(0xFFF)).cast("int"))
     names = {"is_root": ROOT, "is_leaf": LEAF, "is_parent": PARENT, "is_empty": EMPTY, "is_space_tree": SPACE_TREE, "is_index": INDEX, "is_long_value": LONG_VALUE}
@@ -99,9 +104,9 @@ def tags(headed: DataFrame) -> DataFrame:
     numbered = headed.filter("tag_count > 0").withColumn("tag_no", F.explode(F.sequence(F.lit(0), F.col("tag_count") - 1)))
     at = F.col("page_size") - (F.col("tag_no") + 1) * 4
     mask = F.when(small, 0x1FFF).otherwise(0x7FFF)
-    raw = numbered.withColumn("_cb", u(F.col("buf"), at, 2)).withColumn("_ib", u(F.col("buf"), at + 2, 2))
+    raw = hold(numbered, _cb=u(F.col("buf"), at, 2), _ib=u(F.col("buf"), at + 2, 2))
     sized = raw.withColumn("tag_size", F.col("_cb").bitwiseAND(mask)).withColumn("tag_offset", F.col("_ib").bitwiseAND(mask))
-    body = sized.withColumn("data", cut_bytes(F.col("buf"), F.when(small, 40).otherwise(80) + F.col("tag_offset"), F.col("tag_size")))
+    body = hold(sized, data=cut_bytes(F.col("buf"), F.when(small, 40).otherwise(80) + F.col("tag_offset"), F.col("tag_size")))
     second = F.when(F.octet_length("data") >= 2, u(F.col("data"), 1, 1)).otherwise(0)
     return body.withColumn("tag_flags", F.when(small, F.shiftright("_ib", 13)).otherwise(F.shiftright(second.cast("long"), 5))).drop("_cb", "_ib", "buf")
 
@@ -110,7 +115,8 @@ def nodes(headed: DataFrame) -> DataFrame:
     """path, pgno, node_no, is_root, is_leaf, page_size, next_page, key, data, child and is_deleted of every node.
 
     The key is the stored prefix's part (of slot 0's data, on pages that aren't roots; filled with zeros) and the
-    suffix; a branch node's child is the page number in its data. Empty slots give no nodes.
+    suffix; a branch node's child is the page number in its data. Empty slots give no nodes. The nodes are decoded once,
+    into the shared folder, since trees and records read them again and again.
     """
     all_tags = tags(headed)
     prefix = F.when(~F.col("is_root"), F.col("data"))
@@ -120,15 +126,16 @@ def nodes(headed: DataFrame) -> DataFrame:
     squeezed = has(F.col("tag_flags"), COMPRESSED) & (F.octet_length(d) >= 2)
     prefix_n = F.when(squeezed, u(d, 0, 2).bitwiseAND(F.lit(0x1FFF))).otherwise(0)
     start = F.when(squeezed, 2).otherwise(0)
-    shaped = real.withColumn("_p", prefix_n).withColumn("_at", start)
-    shaped = shaped.withColumn("_s", F.when(F.octet_length(d) >= F.col("_at") + 2, u(d, F.col("_at"), 2).bitwiseAND(F.lit(0x1FFF))).otherwise(0))
+    shaped = hold(real, _p=prefix_n, _at=start)
+    shaped = hold(shaped, _s=F.when(F.octet_length(d) >= F.col("_at") + 2, u(d, F.col("_at"), 2).bitwiseAND(F.lit(0x1FFF))).otherwise(0))
     head = F.rpad(F.hex(cut_bytes(F.coalesce("page_prefix", F.lit("").cast("binary")), F.lit(0), F.col("_p"))), (2 * F.col("_p")).cast("int"), F.lit("0"))
     body = F.col("_at") + 2 + F.col("_s")
-    keyed = shaped.withColumn("key", F.unhex(F.concat(head, F.hex(cut_bytes(d, F.col("_at") + 2, F.col("_s")))))).withColumn("data", cut_bytes(d, body, F.octet_length(d) - body))
+    keyed = hold(shaped.withColumnRenamed("data", "_d"), key=F.unhex(F.concat(head, F.hex(cut_bytes(F.col("_d"), F.col("_at") + 2, F.col("_s"))))), data=cut_bytes(F.col("_d"), body, F.octet_length("_d") - body))
     child = F.when(F.col("is_branch") & (F.octet_length("data") >= 4), u(F.col("data"), 0, 4))
-    return keyed.select(
+    decoded = keyed.select(
         "path", "pgno", (F.col("tag_no") - F.col("reserved_tags")).alias("node_no"), "is_root", "is_leaf", "page_size", "next_page", "key", "data", child.alias("child"), has(F.col("tag_flags"), DELETED).alias("is_deleted")
     )
+    return cut(decoded)
 
 
 def leaf_nodes(found: DataFrame, roots: DataFrame, most_levels: int = 16) -> DataFrame:
@@ -158,7 +165,7 @@ def fields(rows: DataFrame, layout: Iterable[tuple[int, str, int | None, int | N
     """
     d = F.col("data")
     long_enough = F.octet_length(d) >= 4
-    head = rows.withColumns({"_fixed": F.when(long_enough, u(d, 0, 1)).otherwise(0), "_variable": F.when(long_enough, u(d, 1, 1)).otherwise(127), "_end": F.when(long_enough, u(d, 2, 2)).otherwise(0)})
+    head = hold(rows, _fixed=F.when(long_enough, u(d, 0, 1)).otherwise(0), _variable=F.when(long_enough, u(d, 1, 1)).otherwise(127), _end=F.when(long_enough, u(d, 2, 2)).otherwise(0))
     bitmap = F.col("_end") - F.floor((F.col("_fixed") + 7) / 8)
     count = F.greatest(F.col("_variable") - 127, F.lit(0))
     body = F.col("_end") + 2 * count
@@ -172,7 +179,10 @@ def fields(rows: DataFrame, layout: Iterable[tuple[int, str, int | None, int | N
             end = u(d, F.col("_end") + 2 * i, 2)
             begin = u(d, F.col("_end") + 2 * (i - 1), 2).bitwiseAND(F.lit(0x7FFF)) if i else F.lit(0)
             out[name] = F.when((F.col("_variable") >= number) & ~has(end, 0x8000), cut_bytes(d, body + begin, end - begin))
-    return head.withColumns(out).drop("_fixed", "_variable", "_end")
+    if not out:
+        return head.drop("_fixed", "_variable", "_end")
+    held = hold(head, **{f"_f{i}": c for i, c in enumerate(out.values())})
+    return held.withColumns({n: F.col(f"_f{i}") for i, n in enumerate(out)}).drop("_fixed", "_variable", "_end", *[f"_f{i}" for i in range(len(out))])
 
 
 def tagged_fields(rows: DataFrame) -> DataFrame:
@@ -185,18 +195,18 @@ def tagged_fields(rows: DataFrame) -> DataFrame:
     long_enough = F.octet_length(d) >= 4
     count = F.greatest(F.when(long_enough, u(d, 1, 1)).otherwise(127) - 127, F.lit(0))
     end = F.when(long_enough, u(d, 2, 2)).otherwise(0)
-    rows = rows.withColumn("_v", count).withColumn("_e", end)
+    rows = hold(rows, _v=count, _e=end)
     last = F.when(F.col("_v") > 0, u(d, F.col("_e") + 2 * F.col("_v") - 2, 2).bitwiseAND(F.lit(0x7FFF))).otherwise(0)
-    rows = rows.withColumn("_area", F.col("_e") + 2 * F.col("_v") + last).filter(F.octet_length(d) >= F.col("_area") + 4)
+    rows = hold(rows, _area=F.col("_e") + 2 * F.col("_v") + last).filter(F.octet_length(d) >= F.col("_area") + 4)
     small = F.col("page_size") <= SMALL_PAGE
     mask = F.when(small, 0x1FFF).otherwise(0x7FFF)
     fields_n = (u(d, F.col("_area") + 2, 2).bitwiseAND(mask) / 4).cast("int")
-    each = rows.withColumn("_n", fields_n).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    each = hold(rows, _n=fields_n).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     word = u(d, F.col("_area") + 4 * F.col("_i") + 2, 2)
     after = F.when(F.col("_i") + 1 < F.col("_n"), u(d, F.col("_area") + 4 * F.col("_i") + 6, 2).bitwiseAND(mask)).otherwise(F.octet_length(d) - F.col("_area"))
-    each = each.withColumn("column_id", u(d, F.col("_area") + 4 * F.col("_i"), 2).cast("int")).withColumn("_w", word).withColumn("_to", after).withColumn("_from", word.bitwiseAND(mask))
+    each = hold(each, column_id=u(d, F.col("_area") + 4 * F.col("_i"), 2).cast("int"), _w=word, _to=after, _from=word.bitwiseAND(mask))
     extra = ~small | has(F.col("_w"), 0x4000)
-    each = each.withColumn("field_flags", F.when(extra, u(d, F.col("_area") + F.col("_from"), 1)).otherwise(0).cast("int"))
+    each = hold(each, field_flags=F.when(extra, u(d, F.col("_area") + F.col("_from"), 1)).otherwise(0).cast("int"))
     null = F.when(small, has(F.col("_w"), 0x2000)).otherwise(has(F.col("field_flags"), 0x20))
     start = F.col("_from") + F.when(extra, 1).otherwise(0)
     kept = each.filter(~null).withColumn("raw", cut_bytes(d, F.col("_area") + start, F.col("_to") - start))
