@@ -154,8 +154,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", seed: int = 42, depth: int = 4,
     The columns of docs and mix_shard, which replaces a column of that name. The rows of a doc_id are drawn together.
     """
     drawn = plan_mix(docs, doc_id=doc_id, seed=seed, depth=depth, **options).filter(F.size("draws") > 0)
-    drawn = cut(drawn.select(F.col("doc_id").alias("_id"), "draws").dropDuplicates(["_id"]))
-    rows = docs.drop("mix_shard").join(drawn, docs[doc_id].eqNullSafe(drawn._id)).withColumn("_d", F.explode("draws"))
-    rows = rows.withColumn("mix_shard", F.col("_d.shard"))
-    order = F.xxhash64(F.lit(seed + 1), "_d.epoch", F.col(doc_id))
-    return rows.repartition(1 << depth, "mix_shard").sortWithinPartitions("mix_shard", order).drop("_id", "draws", "_d")
+    drawn = cut(drawn.select(F.col("doc_id").alias("__id"), F.col("draws").alias("__draws")).dropDuplicates(["__id"]))
+    rows = docs.drop("mix_shard").join(drawn, docs[doc_id].eqNullSafe(drawn["__id"])).withColumn("__draw", F.explode("__draws"))
+    rows = rows.withColumn("mix_shard", F.col("__draw.shard"))
+    order = F.xxhash64(F.lit(seed + 1), "__draw.epoch", F.col(doc_id))
+    return rows.repartition(1 << depth, "mix_shard").sortWithinPartitions("mix_shard", order).drop("__id", "__draws", "__draw")
