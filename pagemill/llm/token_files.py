@@ -98,9 +98,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     out, at = np.zeros(lanes * cap, np.uint16), begin
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
 
-    def put(start: np.ndarray, freq: np.ndarray, bits: int) -> None:
+    def put(start: np.ndarray, freq: np.ndarray) -> None:
         nonlocal low, width
-        r = width >> np.uint64(bits)
+        r = width >> np.uint64(_TOTAL_BITS)
         low = low + r * start.astype(np.uint64)
         width = r * freq.astype(np.uint64)
 
@@ -127,12 +127,14 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         a, b = (model.rest * model.high[h]) >> _FREQ_BITS, (model.rest * model.high[h + 1]) >> _FREQ_BITS
         start = np.where(hit2, 0, np.where(hit1, model.f2, model.f12 + a))
         freq = np.where(hit2, model.f2, np.where(hit1, model.f1, b - a))
-        put(start, freq, _TOTAL_BITS)
+        put(start, freq)
         hit = hit2 | hit1
         if not hit.all():
             j = model.base[1028] + (x >> 8 & 3) * 257 + (x & 255)
             a = model.low[j]
-            put(np.where(hit, 0, a), np.where(hit, _LEAST, model.low[j + 1] - a), _FREQ_BITS)
+            r = np.where(hit, 0, width >> np.uint64(_FREQ_BITS))  # lanes that hit stay as they are, whatever the others do
+            low = low + r * a.astype(np.uint64)
+            width = np.where(hit, width, r * (model.low[j + 1] - a).astype(np.uint64))
         shift_out()
         model.update(x, hit2, hit1)
     for k in range(4):
@@ -205,7 +207,8 @@ def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
             j = model.base[1028] + (high & 3) * 257
             lo = _symbol(model.low, j, v)
             a = model.low[j + lo]
-            narrow(r, np.where(hit, 0, a), np.where(hit, _LEAST, model.low[j + lo + 1] - a))
+            low = low + np.where(hit, 0, r * a.astype(np.uint64))
+            width = np.where(hit, width, r * (model.low[j + lo + 1] - a).astype(np.uint64))
             x = np.where(hit, x, high << 8 | lo).astype(np.int32)
         shift_in()
         out[t] = x
