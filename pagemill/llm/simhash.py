@@ -46,9 +46,9 @@ def _word(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(texts: list[bytes], width: int = 3, words: int = 1) -> np.ndarray:
-    """Fingerprints (texts x words of 64 bits): a bit is set if it is set in over half of the hashes of a text's shingles."""
-    each = [_hashes(t, width) for t in texts]
+def fingerprints(texts: list[bytes], width: int = 3, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """Fingerprints (texts x words of 64 bits): a bit is set if it is set in over half of the hashes of a text's (distinct) shingles."""
+    each = [np.unique(h) if distinct else h for h in (_hashes(t, width) for t in texts)]
     n = np.array([len(h) for h in each], np.int64)
     out = np.zeros((len(texts), words), np.uint64)
     if not n.sum():
@@ -266,14 +266,151 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return signed.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, width: int = 5, radius: int = 24, words: int = 2, parts: int = 8, near: int = 1) -> DataFrame:
+def _signed(docs: DataFrame, width: int, words: int) -> DataFrame:
+    """doc_id, raw (a hash of the stored text), node (a hash of its words) and fp over distinct shingles, of every row."""
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                texts = part.column(2).to_pylist()
+                nodes = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 43) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), _to_arrow(fingerprints(texts, width, words, distinct=True))], ["doc_id", "raw", "node", "fp"])
+
+    return kept.mapInArrow(run, "doc_id bigint, raw bigint, node bigint, fp binary")
+
+
+def sampled_bits(bits: int, tables: int, size: int, seed: int = 42) -> np.ndarray:
+    """(tables x size) positions of the bits that make each table's keys, without repetition inside a table."""
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(bits)[:size] for _ in range(tables)])
+
+
+def _buckets(fps: DataFrame, n: int, words: int, tables: int, size: int) -> DataFrame:
+    """Each row of fps(fp, node, label) under its key in each table; a shard holds neighbouring keys of one table."""
+    positions = sampled_bits(64 * words, tables, size)
+    shift = size - min(size, max(0, (n // 4096).bit_length()))
+    weights = 1 << np.arange(size)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 20000):
+                part = b.slice(at, 20000)
+                bits = np.unpackbits(_from_arrow(part.column(0), words).astype(">u8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
+                for t, chosen in enumerate(positions):
+                    key = (bits[:, chosen] @ weights).astype(np.int32)
+                    shard = (t << size - shift) + (key >> shift)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(key), pa.array(np.full(len(key), t, np.int32)), *part.columns], ["shard", "key", "t", "fp", "node", "label"])
+
+    return fps.select("fp", "node", "label").mapInArrow(route, "shard int, key int, t int, fp binary, node bigint, label bigint")
+
+
+def _in_buckets(group: pa.Table, words: int, found) -> None:
+    """Call found(fp, node, label, rows, differ) for blocks of rows of each bucket: their bits differing from all of its rows."""
+    node, key = np.asarray(group.column("node")), np.asarray(group.column("key"))
+    order = np.lexsort((node, key))
+    node, key, fp, label = node[order], key[order], _from_arrow(group.column("fp"), words)[order], np.asarray(group.column("label"))[order]
+    ends = [*(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    for a, b in zip([0, *ends], ends):
+        step = max(1, 2_000_000 // max(1, b - a))
+        for at in range(a, b if b - a > 1 else a, step):
+            rows = np.arange(at, min(b, at + step))
+            differ = sum(np.bitwise_count(fp[rows, k][:, None] ^ fp[a:b, k][None, :]).astype(np.uint8) for k in range(words))
+            found(fp[a:b], node[a:b], label[a:b], rows - a, differ)
+
+
+def closest_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int, size: int) -> DataFrame:
+    """(node, other): every node that shares a bucket with another within radius, and the closest with a smaller number."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = []
+
+        def found(fp, node, label, rows, differ):
+            hit = differ <= radius
+            hit[np.arange(len(rows)), rows] = False
+            any_hit = hit.any(1)
+            if any_hit.any():
+                lower = np.where(hit & (np.arange(len(node))[None, :] < rows[:, None]), differ, 255)[any_hit]
+                best = lower.argmin(1)
+                out.append((node[rows[any_hit]], node[best], lower[np.arange(len(best)), best].astype(np.int32)))
+
+        _in_buckets(group, words, found)
+        a, b, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+        return pa.table({"node": pa.array(a), "other": pa.array(b, mask=d == 255), "differ": pa.array(d)})
+
+    each = _buckets(fps, n, words, tables, size).groupBy("shard").applyInArrow(run, "node bigint, other bigint, differ int")
+    return each.groupBy("node").agg(F.min_by("other", "differ").alias("other"))
+
+
+def open_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int, size: int) -> DataFrame:
+    """(src, dst) of all pairs within radius that share a bucket and have different labels, each from its first table."""
+    positions = sampled_bits(64 * words, tables, size)
+
+    def run(group: pa.Table) -> pa.Table:
+        out, t = [], int(group.column("t")[0].as_py())
+
+        def found(fp, node, label, rows, differ):
+            i, j = np.nonzero((differ <= radius) & (label[rows][:, None] != label[None, :]) & (np.arange(len(node))[None, :] < rows[:, None]))
+            for at in range(0, len(i), 20000):
+                a, b = rows[i[at : at + 20000]], j[at : at + 20000]
+                bits = np.unpackbits((fp[a] ^ fp[b]).astype(">u8").view(np.uint8).reshape(len(a), -1), axis=1)
+                first = np.ones(len(a), bool)
+                for chosen in positions[:t]:
+                    first &= bits[:, chosen].any(1)
+                out.append((node[a[first]], node[b[first]]))
+
+        _in_buckets(group, words, found)
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return pa.table({"src": pa.array(a), "dst": pa.array(b)})
+
+    return _buckets(fps, n, words, tables, size).groupBy("shard").applyInArrow(run, "src bigint, dst bigint")
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of texts(node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sets = [np.unique(_hashes(t, width)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs(src, dst) whose sets' shared shingles are at least percent of all their shingles."""
+    a, b = sets.select(F.col("node").alias("src"), F.col("shingles").alias("_a")), sets.select(F.col("node").alias("dst"), F.col("shingles").alias("_b"))
+    both = pairs.join(a, "src").join(b, "dst").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+    return both.filter((F.col("_n") > 0) & (100 * F.col("_n") >= percent * (F.size("_a") + F.size("_b") - F.col("_n")))).select("src", "dst")
+
+
+def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, radius: int = 24, words: int = 2, tables: int = 64, size: int = 12) -> DataFrame:
     """The rows of docs, in their own columns, of one document of each near-duplicate group: its smallest doc_id.
 
-    Shingles of five words and 128-bit fingerprints: texts whose shingles are similar to 0.8 (shared / all) differ in 19
-    bits on average, with a deviation of 4, so 24 bits take in most of them and next to none below 0.65. Eight trees
-    that search one differing bit in 16 miss a few of the pairs near 0.8 (see the tests for shares found). Rows that
-    repeat the kept doc_id stay, and so do rows without a doc_id, which no rule can choose between.
+    Two texts are linked if their words are the same, or if they share at least `percent` of all their distinct shingles
+    of five words; groups are the components of these links, and texts without words are linked to each other only.
+    128-bit fingerprints choose the pairs that are compared: those within `radius` bits that agree on `size` sampled bits
+    in one of the tables. First each text is compared with the closest one before it, then all pairs that aren't in one
+    group yet, so that large groups of copies don't give all their pairs. Rows that repeat the kept doc_id with a text of
+    its group stay, and so do rows without a doc_id, which no rule can choose between.
     """
-    found = near_duplicates(docs, width=width, radius=radius, words=words, parts=parts, near=near)
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    signed = cut(_signed(docs, width, words))
+    distinct = cut(signed.filter("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("rep"), F.min_by("raw", "doc_id").alias("raw")))
+    n = distinct.count()
+    closest = cut(closest_candidates(distinct.withColumn("label", F.col("node")), n, radius, words, tables, size))
+    held = distinct.join(closest.select("node"), "node").select("node", "rep", F.col("raw").alias("_raw"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("_raw"), "text").join(held, ["rep", "_raw"])
+    sets = cut(shingle_sets(texts.dropDuplicates(["node"]), width))
+    sure = cut(similar_pairs(closest.filter("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")), sets, percent))
+    groups = connected_components(sure)
+    rest = distinct.join(closest.select("node"), "node").join(groups, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
+    more = similar_pairs(cut(open_candidates(cut(rest), n, radius, words, tables, size)), sets, percent)
+    groups = connected_components(sure.unionByName(more))
+    named = cut(distinct.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
+    least = cut(named.groupBy("component").agg(F.min("rep").alias("kept")))
+    kept = cut(named.join(least, "component").select("node", "kept"))
+    gone = cut(signed.join(kept, "node").filter("doc_id <> kept").select(F.col("doc_id").alias("_gone"), F.col("raw").alias("_raw")).distinct())
+    return docs.join(gone, (docs.doc_id == gone._gone) & (F.xxhash64(docs.text) == gone._raw), "left_anti")

@@ -124,3 +124,48 @@ def test_op7_equals_brute_force(spark, bucket):
         n[i] += 1
     assert got == {r[0]: (n[i], rows[label[i]][0], label[i] == i) for i, r in enumerate(rows)}
     assert cap_filters.near_duplicates(df.limit(0)).collect() == []
+
+
+def similar_texts(rng, n, words, shared):
+    """n pairs of texts of that many words whose five-word shingles are similar to about `shared`."""
+    rows = []
+    for _ in range(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        same = round((words - 4) * 2 * shared / (1 + shared)) + 4
+        rows += [" ".join(base), " ".join(base[:same] + [f"v{rng.randrange(10**6)}" for _ in range(words - same)])]
+    return rows
+
+
+def shingle_set(text):
+    words = (text or "").encode().translate(FOLD).split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_force_kept(rows):
+    """The doc_ids that stay where texts with a shingle similarity of at least 0.8, or no words, are linked."""
+    sets = [shingle_set(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    label = plain_components(len(rows), linked)
+    return {rows[k][0] for k in set(label)}
+
+
+def test_stage_keeps_texts_that_are_not_similar(spark):
+    rng = random.Random(4)
+    texts = [t for shared in (0.5, 0.6, 0.65, 0.7, 0.75) for t in similar_texts(rng, 40, 400, shared)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (1, 3, 5, 6, 8) for _ in range(120)]
+    texts += [None, "", " \n\t", "one two three four five six", "One  two three four five six"]
+    base = [f"b{k}" for k in range(500)]
+    texts += [" ".join(base[:k] + ["edit"] + base[k + 1 :]) for k in range(0, 500, 5)]  # a group of near copies
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one_per_group(docs).collect()}
+    assert kept == brute_force_kept(rows) and len(rows) - len(kept) == 2 + 1 + 99
+
+
+def test_stage_repeated_and_missing_ids(spark):
+    a, b = similar_texts(random.Random(6), 2, 300, 0.9)[::2]
+    rows = [(5, a + " end"), (7, a), (7, b), (9, b), (None, a), (None, b), (9, "other words stay")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one_per_group(docs).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
+    assert simhash.keep_one_per_group(docs.limit(0)).collect() == []
