@@ -412,6 +412,17 @@ def ual_activity(t):
     return ual.activity(named, ["user_id"], "y").select("user_id", "day", "date", "count")
 
 
+@_query(
+    "ual_activity_year",
+    "SELECT user_id, dayofyear(ts)::INTEGER AS day, CAST(ts AS DATE) AS date, count(*) AS count FROM events WHERE ts IS NOT NULL GROUP BY user_id, dayofyear(ts), CAST(ts AS DATE)",
+)
+def ual_activity_year(t):
+    days = list(range(1, 367))
+    wide = t("events").withColumn("d", F.dayofyear("ts")).groupBy("user_id", F.year("ts").alias("y")).pivot("d", days).agg(F.count(F.lit(1)))
+    named = wide.select("user_id", "y", *[F.col(f"`{d}`").alias(f"Day{d}") for d in days])
+    return ual.activity(named, ["user_id"], "y").select("user_id", "day", "date", "count")
+
+
 @_query(
     "srum_resolve_ids",
     "SELECT o_orderkey, c_name AS AppId, n_name AS UserId FROM (SELECT o_orderkey, o_custkey, o_custkey % 30 AS u FROM orders) o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON u = n_nationkey",

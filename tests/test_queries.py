@@ -37,3 +37,9 @@ def test_query_equals_sql(spark, duck, name):
 def test_point_search_reaches_the_scan(spark):
     plan = catalogue.queries()["search_exact"](spark, str(DATA))._jdf.queryExecution().toString()
     assert "EqualTo(o_orderkey,7)" in plan
+
+
+def test_activity_counts_every_event(spark, duck):
+    """The day columns reach over the whole year: no event of a day after the 20th is left out."""
+    df = catalogue.queries()["ual_activity_year"](spark, str(DATA))
+    assert sum(r["count"] for r in df.collect()) == duck.execute("SELECT count(ts) FROM events").fetchone()[0]
