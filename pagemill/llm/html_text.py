@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<(script|style|noscript|template|svg|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?](?:[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
@@ -36,56 +36,121 @@ MARKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
+#: Fixed values of the format: elements without a required end tag and the start tags that end them; where the search
+#: for an open element stops.
+_OPTIONAL = frozenset("p li dt dd td th tr thead tbody tfoot caption colgroup option optgroup body html".split())
+_ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li "
+    "main menu nav ol p pre search section summary table ul".split()
+)
+_CELLS = frozenset(("td", "th", "caption"))
+_ROWS = _CELLS | {"tr"}
+_BODIES = _ROWS | {"thead", "tbody", "tfoot", "colgroup"}
+_STARTS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": _CELLS, "th": _CELLS, "tr": _ROWS, "option": {"option"}, "optgroup": {"option", "optgroup"}} | dict.fromkeys(("thead", "tbody", "tfoot"), _BODIES)
+_LISTS = frozenset(("ul", "ol", "menu", "dir", "dl", "table", *_CELLS, *_MAIN, "section", "aside", "nav", "select"))
+_SCOPE = frozenset(("table", *_CELLS, "button", "object"))
 
 
 def _marked(attributes: str) -> bool:
     return any(w.lower() in MARKS for value in _NAMES.findall(attributes) for w in _WORDS.findall(value))
 
 
+def _ends(tokens: list[tuple[str, bool]]) -> dict[int, tuple[int, bool]]:
+    """For each start tag of (name, is an end tag): the tag that ends its element, and whether the page may end it so.
+
+    An element ends at its own end tag, at that of an element around it, or at a start tag that implies its end; an
+    element whose end tag is required but missing isn't closed properly.
+    """
+    out: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int]] = []
+
+    def close(depth: int, at: int, own: bool = False) -> None:
+        for k, (name, start) in enumerate(stack[depth:]):
+            out[start] = (at, name in _OPTIONAL or (own and not k))
+        del stack[depth:]
+
+    def find(names, stops) -> int:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                return k
+            if stack[k][0] in stops:
+                return -1
+        return -1
+
+    for at, (name, end) in enumerate(tokens):
+        if name in _VOID:
+            if name == "hr" and (k := find(("p",), _SCOPE)) >= 0:
+                close(k, at)
+        elif end:
+            if name in INLINE:
+                k = len(stack) - 1
+                while k >= 0 and stack[k][0] != name and stack[k][0] in INLINE:
+                    k -= 1
+                if k >= 0 and stack[k][0] == name:
+                    out[stack[k][1]] = (at, True)
+                    del stack[k]
+            elif (k := find((name,), () if name in _MAIN or name in ("body", "html") else ("table",) if name in _BODIES or name == "table" else _SCOPE)) >= 0:
+                close(k, at, True)
+        else:
+            if name in _STARTS and (k := find(_STARTS[name], _LISTS - _STARTS[name])) >= 0:
+                # the outermost that this tag ends: a row ends its cell too
+                while k and stack[k - 1][0] in _STARTS[name]:
+                    k -= 1
+                close(k, at)
+            if name in _ENDS_P and (k := find(("p",), _SCOPE)) >= 0:
+                close(k, at)
+            stack.append((name, at))
+    close(0, len(tokens))
+    return out
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of link text, inside an article) of each block, in page order; dropped blocks are empty."""
+    """(text, characters of link text, inside an article) of each block, in page order; dropped blocks are empty.
+
+    A dropped element is skipped to its end; one that isn't closed properly only to the next block's tag. A dropped
+    element around the article doesn't swallow it.
+    """
     out: list[tuple[str, int, bool]] = []
     held: list[str] = []
-    linked = main = depth = 0
-    skipping, in_link, closes = "", False, re.search(r"<(?:article|main)\b", page, re.I) is not None
+    linked = main = 0
+    in_link, closes = False, re.search(r"<(?:article|main)\b", page, re.I) is not None
+    tokens = [m for m in _TOKEN.finditer(page) if m.group(5) is not None or m.group(3) is not None]
+    at_tag = [i for i, m in enumerate(tokens) if m.group(3) is not None]
+    tags = [(tokens[i].group(3).lower(), bool(tokens[i].group(2))) for i in at_tag]
+    ends = _ends(tags)
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split())
-        out.append((text, linked, main > 0))
+        out.append((text, min(linked, len(text)), main > 0))
         held.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        slash, name, attributes, text = m.group(2), m.group(3), m.group(4), m.group(5)
+    tag, until = -1, -1  # until: the number of the tag at which a skipped element ends
+    for m in tokens:
+        text = m.group(5)
         if text is not None:
-            if not skipping:
+            if tag >= until:
                 held.append(text)
-                linked += len(text) if in_link else 0
-            continue
-        if name is None:
+                linked += len(" ".join(html.unescape(text).split())) if in_link else 0
             continue
-        name = name.lower()
-        if skipping:
-            if name in _MAIN and not slash and not main:
-                skipping = ""  # an unclosed element before the article doesn't swallow it
-            else:
-                if name == skipping:
-                    depth += -1 if slash else 1
-                    if not depth:
-                        skipping = ""
-                if name not in INLINE:
-                    end_line()
-                continue
+        tag += 1
+        name, end = tags[tag]
         if name not in INLINE:
             end_line()
-        elif name == "a":
-            in_link = not slash
+        if tag < until:
+            if name not in _MAIN or end or main:
+                continue
+            until = -1
+        if name == "a":
+            in_link = not end
         if name in _MAIN:
-            main = max(0, main + (-1 if slash else 1))
-        elif not slash and name not in _VOID and name not in ("html", "body"):
-            if name in DROPPED or (name == "header" and not main and closes) or _marked(attributes):
-                skipping, depth = name, 1
+            main = max(0, main + (-1 if end else 1))
+        elif not end and name not in _VOID and name not in ("html", "body"):
+            if name in DROPPED or (name == "header" and not main and closes) or _marked(m.group(4)):
+                until, proper = ends[tag]
+                if not proper:
+                    until = next((k for k in range(tag + 1, len(tags)) if tags[k][0] not in INLINE), len(tags))
     end_line()
     return out
 

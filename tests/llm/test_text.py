@@ -112,3 +112,22 @@ def test_op8_signals_and_damage():
         flac.decode([bytes(bad)])
     with pytest.raises(ValueError):
         flac.encode([b"abc"])
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p class="ad">Buy<p>one</p><p>two</p>', "one two"),
+        ('<ul><li class="ad">Buy<li>one</ul><p>two', "one two"),
+        ('<table><tr><td class="ad">Buy<td>one<tr class="promo"><td>x<tr><td>two</table>', "one two"),
+        ('<dl><dt class="ad">Buy<dd>one</dl><select><option>x</select>two', "one two"),
+        ('<div><form><p>mail</p></div><p>one</p>', "mail one"),
+        ('<div><div class="notice">ok <b>x</b></div><p>one</p></div><p>two', "one two"),
+        ('<p>one <label>mail</p><p>two</p>', "one two"),
+        ('one <svg viewBox="0 0 1 1"/> two <svg><text>x</text></svg>', "one two"),
+        ('<div class="notice">ok<p>one</p><nav>menu</nav><p>two</p>', "one two"),
+        ('<div class="ad"><ul><li>x<li>y</ul><div>z</div></div>one two', "one two"),
+    ],
+)
+def test_op6_missing_end_tags(page, want):
+    assert html_text.main_text(f"<html><body><article>{page}</article><footer>f</footer></body></html>") == want
