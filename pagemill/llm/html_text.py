@@ -1,9 +1,9 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one per block; what stands in boilerplate elements leaves its lines empty. Text lengths are
-summed over a sliding window of lines; where the sum leaves zero is a surge, where it returns a dive, and the text
-between is kept: from the first surge to the last dive of the article element where a page has one, else the run of
-lines with the most text that isn't link text.
+Markup is stripped to lines, one per block with text; what stands in boilerplate elements gives no text. Text lengths
+are summed over a sliding window of lines; where the sum leaves zero is a surge, where it returns a dive, and the text
+from the first surge to the last dive is kept: of the article element where a page has one, else of the page, whose
+lengths leave out link text, so that lists of links at its ends are cut off.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def _ends(tokens: list[tuple[str, bool]]) -> dict[int, tuple[int, bool]]:
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of link text, inside an article) of each block, in page order; dropped blocks are empty.
+    """(text, characters of link text, inside an article) of each block with text, in page order.
 
     A dropped element is skipped to its end; one that isn't closed properly only to the next block's tag. A dropped
     element around the article doesn't swallow it.
@@ -121,8 +121,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
     def end_line() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(held)).split())
-        out.append((text, min(linked, len(text)), main > 0))
+        if text := " ".join(html.unescape("".join(held)).split()):
+            out.append((text, min(linked, len(text)), main > 0))
         held.clear()
         linked = 0
 
@@ -156,25 +156,19 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str) -> str:
-    """The blocks between surge and dive, joined by one space; empty if a page has none."""
+    """The blocks between the first surge and the last dive, joined by one space; empty if a page has none."""
     found = lines(page)
-    in_article = any(inside and text for text, _, inside in found)
-    lengths = [len(text) if inside or not in_article else 0 for text, _, inside in found]
+    if any(inside for _, _, inside in found):
+        return " ".join(text for text, _, inside in found if inside)
+    lengths = [len(text) - linked for text, linked, _ in found]
     sums = [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lengths))]
-    runs, begin = [], None
-    for i, total in enumerate([*sums, 0]):
-        if total and begin is None:
-            begin = i  # surge
-        elif not total and begin is not None:
-            runs.append((begin, i))  # dive
-            begin = None
-    if not runs:
-        return ""
-    if in_article:
-        begin, end = runs[0][0], runs[-1][1]
-    else:
-        begin, end = max(runs, key=lambda r: (sum(lengths[i] - found[i][1] for i in range(*r)), -r[0]))
-    return " ".join(found[i][0] for i in range(begin, end) if lengths[i])
+    if not any(sums):
+        return " ".join(text for text, _, _ in found)
+    begin = next(i for i, total in enumerate(sums) if total)  # the first surge
+    last = max(i for i, n in enumerate(lengths) if n)  # its window reaches on to the last dive
+    begin = 0 if begin < WINDOW else begin  # fewer links than a window are no list
+    end = len(found) if len(found) - 1 - last < WINDOW else last + 1
+    return " ".join(text for text, _, _ in found[begin:end])
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

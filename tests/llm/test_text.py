@@ -114,6 +114,19 @@ def test_op8_signals_and_damage():
         flac.encode([b"abc"])
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div><p>A one</p><div class='ad'>Buy</div><p>B two, which is longer</p></div>", "A one B two, which is longer"),
+        ("<h1>Title</h1><div><p>First</p></div><div><p>Second</p><figure><img src=x><figcaption>Caption</figcaption></figure></div>", "Title First Second Caption"),
+        ("<p>Text</p><table><tbody><tr><td>1</td><td>2</td></tr></tbody></table><nav><a>x</a></nav><form><p>mail</form><aside>s</aside><p>End</p>", "Text 1 2 End"),
+        ("<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul><p>Text <a href=d>link</a></p><p><a href=e>More</a></p>", "Text link More"),
+    ],
+)
+def test_op6_pages_without_article(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
