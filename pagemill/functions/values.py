@@ -8,7 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, DoubleType, StringType
 
 #: Code pages and their encodings; ticks of 100 ns from 1601 to 1970.
 CODE_PAGES = {1200: "utf-16-le", 1252: "cp1252", 20127: "ascii"}
@@ -92,6 +92,12 @@ def little_endian(raw: Column, signed: bool = False) -> Column:
     return F.when(size > 0, F.when(negative & (wide >= (top / 2)), minus).otherwise(wide).cast("long"))
 
 
+@F.pandas_udf(DoubleType())
+def floating(raw: pd.Series) -> pd.Series:
+    """4 or 8 bytes as an IEEE number, a double; other lengths give null."""
+    return raw.map(lambda b: struct.unpack("<f" if len(b) == 4 else "<d", b)[0] if len(b) in (4, 8) else None, na_action="ignore").astype("Float64")
+
+
 def not_sentinel(value: Column, *sentinels) -> Column:
     """value, or null where it is one of the sentinels."""
     return F.when(~value.isin(*sentinels), value)

@@ -157,11 +157,11 @@ def leaf_nodes(found: DataFrame, roots: DataFrame, most_levels: int = 16) -> Dat
     return leaves
 
 
-def fields(rows: DataFrame, layout: Iterable[tuple[int, str, int | None, int | None]]) -> DataFrame:
+def fields(rows: DataFrame, layout: Iterable[tuple[int, str, int | None, int | None]], defaults: dict[str, bytes] | None = None) -> DataFrame:
     """rows(data) with each column's stored bytes under its name: (id, name, offset, size) of fixed and variable columns.
 
-    A fixed column is null if its bit is set or it lies beyond the record's last; a variable one if its end has the
-    high bit; a record of under 4 bytes has only nulls.
+    A fixed column is null if its bit is set, a variable one if its end has the high bit; beyond the record's last a
+    column has its default's bytes, or null if it has none; a record of under 4 bytes has only nulls.
     """
     d = F.col("data")
     long_enough = F.octet_length(d) >= 4
@@ -171,14 +171,15 @@ def fields(rows: DataFrame, layout: Iterable[tuple[int, str, int | None, int | N
     body = F.col("_end") + 2 * count
     out = {}
     for number, name, offset, size in layout:
+        default = F.when(long_enough, F.unhex(F.lit(bytes(value).hex()))) if (value := (defaults or {}).get(name)) else F.lit(None).cast("binary")
         if number <= 127:
             null = has(u(d, bitmap + (number - 1) // 8, 1), 1 << ((number - 1) % 8))
-            out[name] = F.when((F.col("_fixed") >= number) & ~null, cut_bytes(d, F.lit(4 + offset), F.lit(size)))
+            out[name] = F.when(F.col("_fixed") >= number, F.when(~null, cut_bytes(d, F.lit(4 + offset), F.lit(size)))).otherwise(default)
         elif number <= 255:
             i = number - 128
             end = u(d, F.col("_end") + 2 * i, 2)
             begin = u(d, F.col("_end") + 2 * (i - 1), 2).bitwiseAND(F.lit(0x7FFF)) if i else F.lit(0)
-            out[name] = F.when((F.col("_variable") >= number) & ~has(end, 0x8000), cut_bytes(d, body + begin, end - begin))
+            out[name] = F.when(F.col("_variable") >= number, F.when(~has(end, 0x8000), cut_bytes(d, body + begin, end - begin))).otherwise(default)
     if not out:
         return head.drop("_fixed", "_variable", "_end")
     held = hold(head, **{f"_f{i}": c for i, c in enumerate(out.values())})
@@ -234,6 +235,8 @@ def typed(raw: Column, code: int, page: int | None = None) -> Column:
         return V.little_endian(raw)
     if code in (3, 4, 5, 8, 15):
         return V.little_endian(raw, signed=True)
+    if code in (6, 7):
+        return V.floating(raw)
     if code in (10, 12):
         return V.decode_text(page or 20127)(raw)
     if code == 16:
@@ -267,7 +270,8 @@ def read_table(found: DataFrame, rows: DataFrame, table: str) -> DataFrame:
     if root.isEmpty():
         raise KeyError(table)
     layout = C.columns(rows).filter((F.col("table_name") == table) & (F.col("storage") != "tagged")).orderBy("id").collect()
-    stored = fields(leaf_nodes(found, root), [(c.id, c.name, c.offset, c["size"]) for c in layout])
+    defaults = {c.name: c.default_value for c in layout if c.default_value}
+    stored = fields(leaf_nodes(found, root), [(c.id, c.name, c.offset, c["size"]) for c in layout], defaults)
     return stored.select("path", "key", *[typed(F.col(f"`{c.name}`"), c.type_code, c.code_page).alias(c.name) for c in layout])
 
 

@@ -96,3 +96,25 @@ def test_many_values(spark):
     df = spark.createDataFrame([(raw, 0x08), (b"one", 0)], "raw binary, f int")
     got = [[bytes(x) for x in r.v] for r in df.select(ese.multi_values(F.col("raw"), F.col("f")).alias("v")).collect()]
     assert got == [[b"ab", b"", b"xyz"], [b"one"]]
+
+
+def test_defaults_and_floating(spark):
+    """Columns beyond a record's last take their default, explicit nulls stay null; IEEE columns come back as numbers."""
+    records = [record([struct.pack("<f", 1.5), struct.pack("<d", -2.25)], [b"x", None], fixed_null=()), record([struct.pack("<f", 0.5)], [b"y"], fixed_null=(1,)), b"\0"]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, data binary")
+    defaults = {"A": struct.pack("<f", 9), "B": struct.pack("<d", 7.5), "D": b"dflt"}
+    stored = ese.fields(rows, [(1, "A", 0, 4), (2, "B", 4, 8), (128, "C", None, None), (129, "D", None, None)], defaults)
+    codes = {"A": 6, "B": 7, "C": 10, "D": 10}
+    got = [tuple(r) for r in stored.orderBy("i").select(*[ese.typed(F.col(n), c, 1252) for n, c in codes.items()]).collect()]
+    assert got == [(1.5, -2.25, "x", None), (None, 7.5, "y", "dflt"), (None, None, None, None)]
+
+
+def test_read_table_uses_the_catalogs_defaults(spark, tmp_path):
+    size = 4096
+    rows = [catalog_row(2, 1, 2, 5, "T"), catalog_row(2, 2, 1, 4, "Id"), catalog_row(2, 2, 2, 7, "Score", default=struct.pack("<d", 2.5)), catalog_row(2, 2, 128, 10, "Name", page=1252, default=b"none")]
+    raw = header(size) * 2 + page(size, 0, []) * 3 + page(size, ROOT | LEAF | NEW, [(bytes([i + 1]), r, 0, False) for i, r in enumerate(rows)])
+    raw += page(size, ROOT | LEAF | NEW, [(b"\x01", record([struct.pack("<i", 1)], []), 0, False), (b"\x02", record([struct.pack("<i", 2), struct.pack("<d", 0.5)], [None]), 0, False)])
+    (tmp_path / "d.edb").write_bytes(raw)
+    nodes = ese.nodes(ese.page_headers(ese.pages(ese.read_files(spark, str(tmp_path / "d.edb")))))
+    got = ese.read_table(nodes, ese.catalog(nodes), "T").orderBy("key").select("Id", "Score", "Name").collect()
+    assert [tuple(r) for r in got] == [(1, 2.5, "none"), (2, 0.5, None)]
