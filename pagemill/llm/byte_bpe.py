@@ -129,19 +129,19 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep and decoded, the bytes that ids stand for, of every row."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """As encode(), with decoded_sha256, the digest of the bytes that each row's ids decode to, in the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own, sha = codec(path, pattern), hashlib.sha256
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                raw = [own.decode(x.as_py()) for x in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(raw, pa.binary())], [*keep, "decoded"])
+                ids = [own.encode(t.as_py() or "") for t in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([sha(own.decode(x)).hexdigest() for x in ids], pa.string())], [*keep, "ids", "decoded_sha256"])
 
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep) + ", decoded binary"
-    return encoded.select(*keep, F.col("ids").alias("_ids")).mapInArrow(run, schema)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids binary, decoded_sha256 string"
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

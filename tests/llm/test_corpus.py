@@ -170,6 +170,6 @@ def test_pipeline_decodes_its_ids(spark):
     docs = spark.createDataFrame([(1, "a", "Hello  wörld\n"), (2, "a", None), (3, "b", "")], "doc_id bigint, source string, text string")
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.encode(spark, docs, "").collect()}
     assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in ((1, "Hello  wörld\n"), (2, None), (3, ""))}
-    bad = spark.createDataFrame([(1, "a", b"\0\0\0\0", hashlib.sha256(b"x").hexdigest(), b"y")], "doc_id bigint, source string, ids binary, _sha256 string, decoded binary")
+    bad = spark.createDataFrame([(1, "a", b"\0\0\0\0", hashlib.sha256(b"x").hexdigest(), hashlib.sha256(b"y").hexdigest())], "doc_id bigint, source string, ids binary, _sha256 string, decoded_sha256 string")
     with pytest.raises(Exception, match="don't decode"):
         corpus_pipeline.checked(bad).collect()
