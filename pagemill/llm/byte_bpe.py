@@ -17,19 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import ChunkEncoder
+from pagemill.llm.chunks import ChunkEncoder, byte_names
 
 
-def byte_characters() -> list[str]:
-    """A printable character for each byte: itself if printable in Latin-1, else the next from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
-CHARACTERS = byte_characters()
-_TO_PIECE = {b: CHARACTERS[b] for b in range(256)}
-_TO_BYTE = {ord(c): b for b, c in enumerate(CHARACTERS)}
+_TO_PIECE = byte_names()
+CHARACTERS = list(_TO_PIECE.values())
+_TO_BYTE = {ord(c): b for b, c in _TO_PIECE.items()}
 
 
 def piece_of(token: bytes) -> str:

@@ -1,7 +1,8 @@
-"""Cutting texts at spaces where a byte-level BPE pattern always cuts, so that encodings of the pieces can be kept.
+"""Cutting texts where a byte-level BPE pattern always cuts, so that encodings of the pieces can be kept.
 
-A token of the pattern holds white space only at its beginning, or nothing else; so there is a cut before every space
-that follows a character that isn't white space. Pieces repeat far more often than texts do.
+A token of such patterns holds white space only at its beginning, or nothing else (some also line breaks at their end);
+so there is a cut before every space that follows a character that isn't white space, and with patterns without such
+line breaks before every line break too. Pieces repeat far more often than texts do.
 """
 
 from __future__ import annotations
@@ -10,39 +11,62 @@ from collections.abc import Callable
 
 import regex
 
-_CUT = regex.compile(r"(?<=\S)(?= )")
-#: A worker forgets its pieces at so many, and keeps no piece longer than so many characters.
-KEPT_PIECES, KEPT_CHARS = 600_000, 200
+#: A worker keeps pieces of about so many bytes in each of two generations, and no piece longer than so many characters.
+KEPT_BYTES, KEPT_CHARS = 128 << 20, 200
+_ENTRY = 200  # bytes of a kept piece beside its characters and ids
+#: Marks before which every pattern cuts if a letter or digit of ASCII stands before them.
+_MARKS = ",.;:!?"
+
+
+def byte_names() -> dict[int, str]:
+    """The character that stands for each byte in byte-level BPE: itself if printable in Latin-1, else the next from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
 class _Kept(dict):
-    """What stands between two single spaces -> the encoding of a space and it; None if it ends in white space."""
+    """A piece, with the character before which it was cut -> its ids; None if it ends in white space."""
 
     def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
+        self.encode, self.old, self.size = encode, {}, 0
 
     def __missing__(self, piece: str) -> bytes | None:
-        found = self.encode(" " + piece) if piece and not piece[-1].isspace() else None
+        if piece in self.old:
+            found = self.old[piece]
+        elif not piece or piece[-1].isspace():
+            found = None if piece else b""
+        elif piece[-1] in _MARKS and (core := piece.rstrip(_MARKS)) and core[-1].isascii() and core[-1].isalnum():
+            found = self[core] + self[piece[len(core) :]]
+        else:
+            found = self.encode(piece)
         if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
+            self.size += len(piece) + _ENTRY
+            if self.size > KEPT_BYTES:
+                self.old, self.size = dict(self), 0
                 self.clear()
             self[piece] = found
         return found
 
 
 class ChunkEncoder:
-    """Encodes whole texts piece by piece; `encode` gives a piece's ids as bytes of fixed width."""
+    """Encodes whole texts piece by piece; `encode` gives a string's ids as bytes of fixed width.
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode, self.kept = encode, _Kept(encode)
+    cuts: the characters before which the pattern cuts, of " " and "\\n"; without any, texts are encoded whole. Texts that
+    hold a string in `whole` are encoded whole too.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], cuts: str = " ", whole: tuple[str, ...] = ()):
+        self.encode, self.cuts, self.whole, self.kept = encode, cuts, ("\0", *whole), _Kept(encode)
+        self.cut = regex.compile(rf"(?<=\S)(?=[{cuts}])") if cuts else None
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        if not first or not first[-1].isspace():
-            try:
-                return (self.encode(first) if first else b"") + b"".join(map(self.kept.__getitem__, rest))
-            except TypeError:  # a piece ends in white space: its space is no sure cut
-                pass
-        return b"".join(map(self.encode, _CUT.split(text)))
+        if not self.cuts or any(w in text for w in self.whole):
+            return self.encode(text)
+        marked = text
+        for c in self.cuts:
+            marked = marked.replace(c, "\0" + c)
+        try:
+            return b"".join(map(self.kept.__getitem__, marked.split("\0")))
+        except TypeError:  # a piece ends in white space: what follows is no sure cut
+            return b"".join(map(self.encode, self.cut.split(text)))

@@ -1,17 +1,21 @@
 """Token ids in files of adaptively range-coded blocks.
 
 A file row is a segment: whole documents in order, their ids cut into blocks of equal length. Every block starts from
-the same empty model and has its own checksum, so blocks decode alone; here all blocks of a segment are coded together,
+the same empty model and has its own checksum, so blocks decode alone; here many blocks of a segment are coded together,
 one NumPy step for the next id of each. An id's probability mixes three predictions: the id last seen after the same two
-ids, the id last seen after the same one, and the frequencies so far of its high byte and of its low byte given two bits
-of the high one. The weights of the first two are running rates of their hits, kept for each state of confidence.
+ids, the id last seen after the same one, and the frequencies so far of classes of ids that share their leading bits.
+The weights of the first two are their rates of hits so far, kept for each pair of their states of confidence. Weights
+and frequencies are renewed at steps that grow apart. A block that coding would not shorten is stored as it is.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,248 +23,261 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import ChunkEncoder
+from pagemill.llm.chunks import ChunkEncoder, byte_names
 from pagemill.llm.shared import table_path
 
-MAGIC, VERSION = b"PMTK", 1
-#: ids of a segment (more only where one document has more), and of a block in small and in large segments
-SEGMENT, SMALL_BLOCK, BLOCK = 4_000_000, 512, 2048
-_HEAD = struct.Struct("<4sHIIQII")
-_SLOTS = 1024
-_TOTAL, _TOTAL_BITS = 1 << 16, 16
-_FREQ_BITS = 12
-_LEAST = 1 << _FREQ_BITS
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_S16, _S48 = np.uint64(16), np.uint64(48)
+MAGIC, VERSION = b"PMTK", 2
+#: ids of a segment (more only where one document has more), ids of a block, and blocks that are coded together
+SEGMENT, BLOCK, LANES = 4_000_000, 1024, 4096
+_HEAD = struct.Struct("<4sHHIIQII")
+_PLAIN = 1 << 31  # set in the length of a block that is stored as it is
+_SLOTS, _STATES = 512, 32
+_TOTAL_BITS, _FREQ_BITS = 16, 12
+_TOTAL, _PART = 1 << _TOTAL_BITS, 1 << _FREQ_BITS
+_U = np.uint64
+_WORD, _SMALL, _ALL = _U(32), _U(1 << 32), _U((1 << 64) - 1)
+
+
+def _classes(leading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each 16-bit id, first id of each class, free bits of each class): ids that share their leading bits."""
+    ids = np.arange(1 << 16)
+    free = np.maximum(np.frexp(ids)[1] - leading, 0)
+    kind = (free << (leading - 1)) + (ids >> free)
+    first = np.searchsorted(kind, np.arange(kind[-1] + 1))
+    return kind, first, free[first].astype(np.uint64)
+
+
+_CLASS, _FIRST, _FREE = _classes(4)
+_KINDS = len(_FIRST)
+_HALVES = [1 << k for k in reversed(range((_KINDS - 1).bit_length()))]
 
 
 class _Model:
     """The predictions of many blocks, each in its lane."""
 
     def __init__(self, lanes: int):
-        self.lanes = np.arange(lanes)
-        self.one, self.two = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.rate2, self.rate1 = np.full(lanes * 8, 16384, np.int32), np.full(lanes * 4, 8192, np.int32)
-        self.high_n, self.low_n = np.zeros(lanes * 256, np.int32), np.zeros(lanes * 1024, np.int32)
-        self.high, self.low = np.empty(lanes * 257, np.int32), np.empty(lanes * 4 * 257, np.int32)
-        self.x1 = self.x2 = np.zeros(lanes, np.int32)
-        self.base = {k: (self.lanes * k).astype(np.int64) for k in (_SLOTS, 8, 4, 256, 257, 1024, 1028)}
-        self.step, self.renew = 0, 16
-        self._rebuild()
-
-    def _rebuild(self) -> None:
-        for counts, sums in ((self.high_n, self.high), (self.low_n, self.low)):
-            c = counts.reshape(-1, 256)
-            scale = np.float32(_LEAST - 256) / np.maximum(c.sum(1, dtype=np.int32), 1).astype(np.float32) * np.float32(0.999)
-            freq = (c * scale[:, None]).astype(np.int32) + np.int32(1)
-            s = sums.reshape(-1, 257)
-            s[:, 0] = 0
-            np.cumsum(freq, axis=1, out=s[:, 1:])
-            s[:, 256] = _LEAST
-
-    def predict(self) -> None:
-        """Sets the candidates and the widths of their intervals out of 2**16; at least 2**12 is left for other ids."""
-        self.i2 = self.base[_SLOTS] + ((self.x1 * 31 + self.x2 * 1021 + (self.x2 >> 5)) & (_SLOTS - 1))
-        self.i1 = self.base[_SLOTS] + ((self.x1 + (self.x1 >> 7)) & (_SLOTS - 1))
-        e2, e1 = self.two[self.i2], self.one[self.i1]
-        self.c2, self.c1, self.k2, self.k1 = e2 & 0xFFFF, e1 & 0xFFFF, e2 >> 16, e1 >> 16
-        self.r2 = self.base[8] + (self.k2 * 2 + (self.c1 == self.c2))
-        self.r1 = self.base[4] + self.k1
-        self.f2 = np.clip(self.rate2[self.r2], 1, _TOTAL - 2 * _LEAST)
-        rest = _TOTAL - self.f2
-        self.f1 = np.clip((rest * (self.rate1[self.r1] >> 1)) >> 15, 1, rest - _LEAST)
-        self.rest = rest - self.f1
-        self.f12 = self.f1 + self.f2
-
-    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        other = ~hit2
-        full = np.int32(65535)
-        rate2, rate1 = self.rate2[self.r2], self.rate1[self.r1]
-        self.rate2[self.r2] = rate2 + ((hit2 * full - rate2) >> 4)
-        self.rate1[self.r1] = rate1 + other * ((hit1 * full - rate1) >> 4)
-        self.two[self.i2] = x | (hit2 * np.minimum(self.k2 + 1, 3) << 16)
-        self.one[self.i1] = x | ((x == self.c1) * np.minimum(self.k1 + 1, 3) << 16)
-        self.high_n[self.base[256] + (x >> 8)] += 1
-        self.low_n[self.base[1024] + (x >> 8 & 3) * 256 + (x & 255)] += 1
-        self.x2, self.x1 = self.x1, x
+        lane = np.arange(lanes)
+        self.one, self.two = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)  # id and confidence
+        self.slot, self.states, self.kinds, self.base = lane * _SLOTS, lane * _STATES, lane * _KINDS, lane * 2 * _HALVES[0]
+        self.counts, self.sums = np.zeros((lanes, _KINDS), np.int32), np.full((lanes, 2 * _HALVES[0]), _PART, np.int32)
+        self.sums[:, 0] = 0
+        self.flat = self.sums.reshape(-1)
+        # Hits of the first, of the second, and of neither, to begin with: 64 for each state of confidence.
+        state = np.arange(_STATES)
+        first = np.array([6, 24, 44, 56])[state >> 3]
+        second = (64 - first) * np.where(state & 1, 0, np.array([4, 12, 24, 36])[state >> 1 & 3]) // 64
+        self.seen = np.tile(np.stack([first, second, 64 - first - second], 1).astype(np.int32), (lanes, 1))
+        self.x1 = self.mark = np.zeros(lanes, np.int64)
+        self.ids, self.where = np.zeros((512, lanes), np.int64), np.zeros((512, lanes), np.int64)
+        self.missed = np.zeros((512, lanes), np.int8)
+        self.step, self.renew_at = 0, 16
+        self._renew()
+
+    def _renew(self) -> None:
+        n = self.step
+        if n:
+            kind = _CLASS.take(self.ids[:n])
+            kind += self.kinds
+            self.counts += np.bincount(kind.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
+            self.seen += 4 * np.bincount((self.where[:n] * 3 + self.missed[:n]).ravel(), minlength=self.seen.size).reshape(-1, 3)
+            self.step, self.renew_at = 0, min(512, self.renew_at * 2)
+        scale = ((_PART - _KINDS) << 14) // (4 * self.counts.sum(1, dtype=np.int32) + _KINDS)
+        np.cumsum(((4 * self.counts[:, :-1] + 1) * scale[:, None] >> 14) + 1, axis=1, out=self.sums[:, 1:_KINDS])
+        rates = (self.seen << 16) // self.seen.sum(1, dtype=np.int32)[:, None]
+        first = np.clip(rates[:, 0], 16, _TOTAL - 2048)
+        self.first, self.both = first.astype(np.uint64), (first + np.clip(rates[:, 1], 16, _TOTAL - 1024 - first)).astype(np.uint64)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ends of the two candidates' intervals out of 2**16; at least 2**10 is left for other ids."""
+        self.i2 = ((self.x1 ^ self.mark) & (_SLOTS - 1)) + self.slot
+        self.i1 = (self.x1 & (_SLOTS - 1)) + self.slot
+        e2, e1 = self.two.take(self.i2), self.one.take(self.i1)
+        self.c2, self.c1, self.k2, self.k1 = e2 >> 2, e1 >> 2, e2 & 3, e1 & 3
+        self.at = (self.k2 << 3) + (self.k1 << 1) + (self.c1 == self.c2) + self.states
+        return self.first.take(self.at), self.both.take(self.at)
+
+    def update(self, x: np.ndarray, missed: np.ndarray) -> None:
+        """Take in the lanes' ids and how many candidates missed them."""
+        wide, entry = x.astype(np.int64), x << 2
+        self.ids[self.step], self.where[self.step], self.missed[self.step] = wide, self.at, missed
+        self.two[self.i2] = entry + np.minimum(self.k2 + 1, 3) * (x == self.c2)
+        self.one[self.i1] = entry + np.minimum(self.k1 + 1, 3) * (x == self.c1)
+        self.mark, self.x1 = self.x1 * 37, wide
         self.step += 1
-        if self.step == self.renew:
-            self.renew += min(self.step * 2, 512)
-            self._rebuild()
+        if self.step == self.renew_at:
+            self._renew()
+
+
+def _interval(first: np.ndarray, both: np.ndarray, miss: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.where(miss, np.where(other, both, first), _U(0))
+    return start, np.where(miss, np.where(other, _U(_TOTAL), both), first) - start
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The coded bytes of each row of ids (blocks x length)."""
+    """The coded bytes of each row of 16-bit ids (blocks x length)."""
     lanes, length = ids.shape
-    steps = np.ascontiguousarray(ids.T.astype(np.int32))
-    model, cap = _Model(lanes), 2 * length + 16
-    begin = np.arange(lanes) * cap
-    out, at = np.zeros(lanes * cap, np.uint16), begin
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-
-    def put(start: np.ndarray, freq: np.ndarray) -> None:
-        nonlocal low, width
-        r = width >> np.uint64(_TOTAL_BITS)
-        low = low + r * start.astype(np.uint64)
-        width = r * freq.astype(np.uint64)
-
-    def shift_out() -> None:
-        nonlocal low, width, at
-        while True:
-            ready = (low ^ (low + width)) < _TOP
-            if (short := width < _BOTTOM).any():
-                stuck = short & ~ready
-                width = np.where(stuck, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)), width)
-                ready |= stuck
-            if not ready.any():
-                return
-            out[at] = low >> _S48
-            at = at + ready
-            shift = ready * _S16
-            low, width = low << shift, width << shift
-
-    for x in steps:
-        model.predict()
-        hit2 = x == model.c2
-        hit1 = (x == model.c1) & ~hit2
-        h = model.base[257] + (x >> 8)
-        a, b = (model.rest * model.high[h]) >> _FREQ_BITS, (model.rest * model.high[h + 1]) >> _FREQ_BITS
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f12 + a))
-        freq = np.where(hit2, model.f2, np.where(hit1, model.f1, b - a))
-        put(start, freq)
-        hit = hit2 | hit1
-        if not hit.all():
-            j = model.base[1028] + (x >> 8 & 3) * 257 + (x & 255)
-            a = model.low[j]
-            r = np.where(hit, 0, width >> np.uint64(_FREQ_BITS))  # lanes that hit stay as they are, whatever the others do
-            low = low + r * a.astype(np.uint64)
-            width = np.where(hit, width, r * (model.low[j + 1] - a).astype(np.uint64))
-        shift_out()
-        model.update(x, hit2, hit1)
-    for k in range(4):
-        out[at + k] = low >> _S48
-        low = low << _S16
-    return [out[b:e].tobytes() for b, e in zip(begin.tolist(), (at + 4).tolist(), strict=True)]
-
-
-def _symbol(sums: np.ndarray, base: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The symbol of 256 whose interval holds value, by halving."""
-    found = base.copy()
-    for half in (128, 64, 32, 16, 8, 4, 2, 1):
-        found += (sums[found + half] <= value) * half
-    return found - base
+    model, cap = _Model(lanes), length + 4
+    begin = np.arange(lanes) * cap + 1  # the word before takes no carry: a block's number is below 1
+    out, at = np.zeros(lanes * cap + 1, np.uint32), begin.copy()
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
+
+    def carry(rows: np.ndarray) -> None:
+        p = at[rows] - 1
+        while len(p):
+            out[p] += np.uint32(1)
+            p = p[out[p] == 0] - 1
+
+    for x in np.ascontiguousarray(ids.T.astype(np.int32)):
+        first, both = model.predict()
+        miss = x != model.c2
+        other = miss & (x != model.c1)
+        start, size = _interval(first, both, miss, other)
+        r = width >> _U(_TOTAL_BITS)
+        add, width = r * start, r * size
+        if len(e := other.nonzero()[0]):
+            own = x.take(e).astype(np.int64)
+            kind = _CLASS.take(own)
+            j = model.base.take(e) + kind
+            r = width.take(e) >> _U(_FREQ_BITS)
+            start = model.flat.take(j).astype(np.uint64)
+            size = (model.flat.take(j + 1).astype(np.uint64) - start) * r >> _FREE.take(kind)
+            add[e] += start * r + size * (own - _FIRST.take(kind)).astype(np.uint64)
+            width[e] = size
+        low += add
+        if len(over := (low < add).nonzero()[0]):
+            carry(over)
+        if len(n := (width < _SMALL).nonzero()[0]):
+            value, p = low.take(n), at.take(n)
+            out[p], at[n] = value >> _WORD, p + 1
+            low[n] = value << _WORD
+            width[n] <<= _WORD
+        model.update(x, other.view(np.int8) + miss)
+    low += _SMALL - _U(1)  # the only multiple of 2**32 that is surely inside the interval
+    carry((low < _SMALL - _U(1)).nonzero()[0])
+    out[at] = low >> _WORD
+    return [out[b : e + 1].astype("<u4").tobytes() for b, e in zip(begin.tolist(), at.tolist(), strict=True)]
 
 
 def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
     """The ids (blocks x length) of coded blocks."""
     lanes = len(coded)
-    words = [np.frombuffer(c, "<u2") for c in coded]
-    cap = max((len(w) for w in words), default=0) + 8
-    data = np.zeros((lanes, cap), np.uint64)
-    for i, w in enumerate(words):
-        data[i, : len(w)] = w
-    data = data.ravel()
-    model, at = _Model(lanes), np.arange(lanes) * cap
-    code, low, width = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    for _ in range(4):
-        code = code << _S16 | data[at]
-        at += 1
+    words = [np.frombuffer(c, "<u4") for c in coded]
+    cap = max((len(w) for w in words), default=0) + 4
+    data = np.zeros((lanes, cap), np.uint32)
+    for row, w in zip(data, words, strict=True):
+        row[: len(w)] = w
+    data, last = data.ravel(), lanes * cap - 1
+    model, at = _Model(lanes), np.arange(lanes) * cap + 2
+    code, width = data[at - 2].astype(np.uint64) << _WORD | data[at - 1], np.full(lanes, _ALL)
     out = np.empty((length, lanes), np.int32)
-
-    def narrow(r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        nonlocal low, width
-        low = low + r * start.astype(np.uint64)
-        width = r * freq.astype(np.uint64)
-
-    def shift_in() -> None:
-        nonlocal low, width, code, at
-        while True:
-            ready = (low ^ (low + width)) < _TOP
-            if (short := width < _BOTTOM).any():
-                stuck = short & ~ready
-                width = np.where(stuck, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)), width)
-                ready |= stuck
-            if not ready.any():
-                return
-            shift = ready * _S16
-            low, width = low << shift, width << shift
-            code = np.where(ready, code << _S16 | data[at], code)
-            at = at + ready
-
     for t in range(length):
-        model.predict()
-        r = width >> np.uint64(_TOTAL_BITS)
-        v = np.minimum((code - low) // r, np.uint64(_TOTAL - 1)).astype(np.int32)
-        hit2 = v < model.f2
-        hit1 = (v < model.f12) & ~hit2
-        hit = hit2 | hit1
-        # The high byte's sums are scaled to the interval's rest, so look for the value's last scaled sum at or below it.
-        target = ((np.maximum(v - model.f12, 0) + 1) * np.int64(_LEAST) - 1) // model.rest
-        high = _symbol(model.high, model.base[257], target)
-        h = model.base[257] + high
-        a, b = (model.rest * model.high[h]) >> _FREQ_BITS, (model.rest * model.high[h + 1]) >> _FREQ_BITS
-        narrow(r, np.where(hit2, 0, np.where(hit1, model.f2, model.f12 + a)), np.where(hit2, model.f2, np.where(hit1, model.f1, b - a)))
-        x = np.where(hit2, model.c2, model.c1)
-        if not hit.all():
-            r = width >> np.uint64(_FREQ_BITS)
-            v = np.minimum((code - low) // r, np.uint64(_LEAST - 1)).astype(np.int32)
-            j = model.base[1028] + (high & 3) * 257
-            lo = _symbol(model.low, j, v)
-            a = model.low[j + lo]
-            low = low + np.where(hit, 0, r * a.astype(np.uint64))
-            width = np.where(hit, width, r * (model.low[j + lo + 1] - a).astype(np.uint64))
-            x = np.where(hit, x, high << 8 | lo).astype(np.int32)
-        shift_in()
+        first, both = model.predict()
+        r = width >> _U(_TOTAL_BITS)
+        value = code // r
+        miss, other = value >= first, value >= both
+        start, size = _interval(first, both, miss, other)
+        code -= r * start
+        width = r * size
+        x = np.where(miss, model.c1, model.c2)
+        if len(e := other.nonzero()[0]):
+            r, rest, base = width.take(e) >> _U(_FREQ_BITS), code.take(e), model.base.take(e)
+            value = np.minimum(rest // r, _U(_PART - 1)).astype(np.int32)
+            j = base
+            for half in _HALVES:
+                up = j + half
+                j = np.where(model.flat.take(up) <= value, up, j)
+            kind = j - base
+            start, free = model.flat.take(j).astype(np.uint64), _FREE.take(kind)
+            size = (model.flat.take(j + 1).astype(np.uint64) - start) * r >> free
+            rest -= start * r
+            value = np.minimum(rest // size, (_U(1) << free) - _U(1))
+            code[e], width[e] = rest - value * size, size
+            x[e] = value.astype(np.int64) + _FIRST.take(kind)
+        if len(n := (width < _SMALL).nonzero()[0]):
+            p = np.minimum(at.take(n), last)  # a damaged block may ask for more than there is
+            code[n] = code.take(n) << _WORD | data.take(p)
+            width[n] <<= _WORD
+            at[n] = p + 1
         out[t] = x
-        model.update(x, hit2, hit1)
+        model.update(x, other.view(np.int8) + miss)
     return out.T
 
 
-def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """A segment of documents and their ids (16-bit little-endian)."""
-    tokens = np.frombuffer(b"".join(ids), "<u2")
-    block = BLOCK if len(tokens) >= 1 << 20 else SMALL_BLOCK
-    n = -(-len(tokens) // block)
-    padded = np.zeros(n * block, np.uint16)
-    padded[: len(tokens)] = tokens
-    coded = encode_blocks(padded.reshape(n, block)) if n else []
-    index = np.array([[len(c), zlib.crc32(c)] for c in coded], "<u4").tobytes()
+def pack(doc_ids: list[int | None], ids: list[bytes], kind: str = "<u2") -> bytes:
+    """A segment of documents and their ids, little-endian integers of 16 or 32 bits; of the latter each half is coded."""
+    tokens = np.frombuffer(b"".join(ids), kind)
+    size = tokens.dtype.itemsize
+    n = -(-len(tokens) // BLOCK)
+    coded: list[bytes] = []
+    for half in range(size // 2):
+        padded = np.zeros((n, BLOCK), "<u2")
+        padded.reshape(-1)[: len(tokens)] = (tokens >> (16 * half) & 0xFFFF) if half or size > 2 else tokens
+        for at in range(0, n, LANES):
+            part = padded[at : at + LANES]
+            coded += [c if len(c) < 2 * BLOCK else row.tobytes() for c, row in zip(encode_blocks(part), part, strict=True)]
+    index = np.array([[len(c) | (_PLAIN if len(c) == 2 * BLOCK else 0), zlib.crc32(c)] for c in coded], "<u4").tobytes()
     known = np.array([d is not None for d in doc_ids], np.uint8).tobytes()
-    docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([len(i) // 2 for i in ids], "<u4").tobytes() + known
+    docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([len(i) // size for i in ids], "<u4").tobytes() + known
     body = docs + index
-    return _HEAD.pack(MAGIC, VERSION, block, len(doc_ids), len(tokens), n, zlib.crc32(body)) + body + b"".join(coded)
+    return _HEAD.pack(MAGIC, VERSION, size // 2, BLOCK, len(doc_ids), len(tokens), n, zlib.crc32(body)) + body + b"".join(coded)
 
 
 def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, ids of each document, all ids) of a segment; a checksum that doesn't match is an error."""
-    magic, version, block, docs, tokens, n, crc = _HEAD.unpack_from(segment)
-    at, body = _HEAD.size, docs * 13 + n * 8
+    magic, version, halves, block, docs, tokens, n, crc = _HEAD.unpack_from(segment)
+    at, body = _HEAD.size, docs * 13 + n * halves * 8
     if magic != MAGIC or version != VERSION or zlib.crc32(segment[at : at + body]) != crc:
         raise ValueError("not a token segment, or its index is damaged")
     ids, count = np.frombuffer(segment, "<i8", docs, at), np.frombuffer(segment, "<u4", docs, at + 8 * docs)
     known = np.frombuffer(segment, np.uint8, docs, at + 12 * docs)
-    index = np.frombuffer(segment, "<u4", 2 * n, at + 13 * docs).reshape(n, 2)
-    ends = at + body + np.cumsum(index[:, 0].astype(np.int64))
-    coded = [segment[e - size : e] for e, size in zip(ends.tolist(), index[:, 0].tolist(), strict=True)]
+    index = np.frombuffer(segment, "<u4", 2 * n * halves, at + 13 * docs).reshape(-1, 2)
+    plain, sizes = index[:, 0] >= _PLAIN, (index[:, 0] & (_PLAIN - 1)).astype(np.int64)
+    ends = at + body + np.cumsum(sizes)
+    coded = [segment[e - size : e] for e, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
     for i, c in enumerate(coded):
         if zlib.crc32(c) != index[i, 1]:
             raise ValueError(f"block {i} is damaged")
-    all_ids = decode_blocks(coded, block).ravel()[:tokens] if n else np.empty(0, np.int32)
+    out = np.empty((n * halves, block), np.uint32)
+    for i in plain.nonzero()[0].tolist():
+        out[i] = np.frombuffer(coded[i], "<u2")
+    rest = (~plain).nonzero()[0]
+    for k in range(0, len(rest), LANES):
+        rows = rest[k : k + LANES]
+        out[rows] = decode_blocks([coded[i] for i in rows.tolist()], block)
+    all_ids = out[:n].reshape(-1)[:tokens]
+    if halves == 2:
+        all_ids = all_ids | out[n:].reshape(-1)[:tokens] << np.uint32(16)
     return [int(d) if k else None for d, k in zip(ids, known, strict=True)], count, all_ids
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, tuple[ChunkEncoder, str]] = {}
+
 
+def library_encoder(path: str) -> tuple[ChunkEncoder, str]:
+    """The worker's encoder by the tokenizers library, built once, and the kind of integer that its ids need.
 
-def library_encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder by the tokenizers library, built once; special tokens' strings are ordinary text."""
+    A byte-level tokenizer with the usual pattern cuts before every space or line break after a character that is no
+    white space; pieces between such cuts are encoded once. Others encode whole texts, and so does a text that holds an
+    added token's string, which the library finds before anything else.
+    """
     if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        encode: Callable = tokenizer.encode
-        _encoders[path] = ChunkEncoder(lambda text: np.array(encode(text, add_special_tokens=False).ids, "<u2").tobytes())
+        settings, (kind, code) = json.loads(tokenizer.to_str()), ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        before = settings["pre_tokenizer"] or {}
+        known = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not settings["normalizer"]
+
+        model, names = tokenizer.model, byte_names()
+
+        def encode(text: str) -> bytes:
+            """A space or nothing before Latin letters is one pre-token, which goes to the library's model directly."""
+            if known and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) and (text.isascii() or max(text) < "\u0250"):
+                return array(code, [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(names))]).tobytes()
+            return array(code, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+        _encoders[path] = ChunkEncoder(encode, " \n" if known else "", tuple(t["content"] for t in settings["added_tokens"])), kind
     return _encoders[path]
 
 
@@ -269,27 +286,28 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 
     Each whole text's ids are followed by the id `end`; a null or empty text has only that. Rows without a doc_id come
     first; rows that share one are ordered by a hash of their texts. Spark's writer commits tasks, so a retried task
-    leaves one copy. An empty table makes an empty one. Ids must be below 65,536.
+    leaves one copy. An empty table makes an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, number = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        (encode, kind), part, number = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
         held: tuple[list, list] = [], []
-        size, last = 0, struct.pack("<H", end)
+        held_n, last = 0, np.array([end], kind).tobytes()
 
         def flush() -> pa.RecordBatch:
-            row = [[part], [number], [size], [pack(*held)]]
+            row = [[part], [number], [held_n], [pack(*held, kind)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "n_tokens", "data"])
 
         for b in batches:
-            for d, t in zip(b.column(0), b.column(1), strict=True):
-                ids = encode(t.as_py() or "") + last
-                if held[0] and size + len(ids) // 2 > SEGMENT:
+            for d, ids in zip(b.column(0), (encode(t.as_py() or "") for t in b.column(1)), strict=True):
+                ids += last
+                n = len(ids) // len(last)
+                if held[0] and held_n + n > SEGMENT:
                     yield flush()
-                    held, size, number = ([], []), 0, number + 1
+                    held, held_n, number = ([], []), 0, number + 1
                 held[0].append(d.as_py())
                 held[1].append(ids)
-                size += len(ids) // 2
+                held_n += n
         if held[0]:
             yield flush()
 

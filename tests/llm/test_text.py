@@ -28,7 +28,6 @@ def test_op3_equals_the_library(docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     got, own, at = by_id(token_files.write_and_read(docs, path)), Tokenizer.from_file(path), 0
-    own.encode_special_tokens = True
     for i, t in reversed(list(enumerate(TEXTS))):
         ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
         r = got[100 - i]
@@ -144,3 +143,42 @@ def test_op6_pages_without_article(page, want):
 )
 def test_op6_missing_end_tags(page, want):
     assert html_text.main_text(f"<html><body><article>{page}</article><footer>f</footer></body></html>") == want
+
+
+def test_op3_wide_ids_and_plain_blocks():
+    """Ids of 32 bits are coded in halves; random ids, which coding can't shorten, are stored as they are."""
+    rng = np.random.default_rng(2)
+    for kind, top in (("<u2", 1 << 16), ("<u4", 1 << 32)):
+        ids = [rng.integers(0, top, 5000).astype(kind).tobytes(), b"", np.tile([1, 70, 9], 4000).astype(kind).tobytes()]
+        segment = token_files.pack([3, 4, 5], ids, kind)
+        _, count, found = token_files.unpack(segment)
+        assert count.tolist() == [5000, 0, 12000] and found.astype(kind).tobytes() == b"".join(ids)
+        assert len(segment) < 5120 * np.dtype(kind).itemsize + 2500
+
+
+def test_op3_repeated_and_missing_ids(spark):
+    rows = [(5, "b b"), (5, "a"), (None, "first"), (5, "a"), (9, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, start int, data string")
+    got = token_files.write_and_read(docs, public_tokenizers.path("byte_bpe_50k.json")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 5, 5, 5, 9] and got[0].start == 0
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+    assert sorted(r.ids_crc32 for r in got[1:4])[0] in {got[k].ids_crc32 for k in (1, 2, 3)} and len({r.ids_crc32 for r in got[1:4]}) == 2
+
+
+def test_pieces_equal_whole_texts():
+    """Texts encoded by kept pieces have the library's ids, whatever white space they hold, and after pieces were forgotten."""
+    from tokenizers import Tokenizer
+
+    from pagemill.llm import chunks
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, (encode, _) = Tokenizer.from_file(path), token_files.library_encoder(path)
+    odd = ["a\n\nb  c \n d", "　a b", "x\0 y\0\nz", "a.\n\n\n b", "a ,b. c!? (x), 'll I'll,", "a  b​ c", "\x1c a\x85 b", "hi <|endoftext|> there", "ſtraße, ĦÆ É. x1, 12; 3.", "é ́x, "]
+    for text in [t or "" for t in TEXTS] + odd:
+        assert np.frombuffer(encode(text), "<u2").tolist() == own.encode(text, add_special_tokens=False).ids
+    bound, chunks.KEPT_BYTES = chunks.KEPT_BYTES, 2000
+    try:
+        text = " ".join(f"w{k % 37} v{k}" for k in range(500))
+        assert np.frombuffer(encode(text), "<u2").tolist() == own.encode(text, add_special_tokens=False).ids
+    finally:
+        chunks.KEPT_BYTES = bound
