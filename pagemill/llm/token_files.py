@@ -68,7 +68,7 @@ class _Model:
         second = (64 - first) * np.where(state & 1, 0, np.array([4, 12, 24, 36])[state >> 1 & 3]) // 64
         self.seen = np.tile(np.stack([first, second, 64 - first - second], 1).astype(np.int32), (lanes, 1))
         self.x1 = self.mark = np.zeros(lanes, np.int64)
-        self.ids, self.where = np.zeros((512, lanes), np.int64), np.zeros((512, lanes), np.int64)
+        self.ids, self.where = np.zeros((512, lanes), np.uint16), np.zeros((512, lanes), np.int32)
         self.missed = np.zeros((512, lanes), np.int8)
         self.step, self.renew_at = 0, 16
         self._renew()
@@ -92,17 +92,18 @@ class _Model:
         self.i2 = ((self.x1 ^ self.mark) & (_SLOTS - 1)) + self.slot
         self.i1 = (self.x1 & (_SLOTS - 1)) + self.slot
         e2, e1 = self.two.take(self.i2), self.one.take(self.i1)
-        self.c2, self.c1, self.k2, self.k1 = e2 >> 2, e1 >> 2, e2 & 3, e1 & 3
-        self.at = (self.k2 << 3) + (self.k1 << 1) + (self.c1 == self.c2) + self.states
+        self.c2, self.c1, self.e2, self.e1 = e2 >> 5, e1 >> 3, e2, e1
+        self.at = (e2 & 24) + (e1 & 6) + (self.c1 == self.c2) + self.states
         return self.first.take(self.at), self.both.take(self.at)
 
-    def update(self, x: np.ndarray, missed: np.ndarray) -> None:
-        """Take in the lanes' ids and how many candidates missed them."""
-        wide, entry = x.astype(np.int64), x << 2
-        self.ids[self.step], self.where[self.step], self.missed[self.step] = wide, self.at, missed
-        self.two[self.i2] = entry + np.minimum(self.k2 + 1, 3) * (x == self.c2)
-        self.one[self.i1] = entry + np.minimum(self.k1 + 1, 3) * (x == self.c1)
-        self.mark, self.x1 = self.x1 * 37, wide
+    def update(self, x: np.ndarray, miss: np.ndarray, other: np.ndarray) -> None:
+        """Take in the lanes' ids, which of them the first candidate missed, and which of them both."""
+        self.ids[self.step], self.where[self.step] = x, self.at
+        np.add(miss, other, out=self.missed[self.step], dtype=np.int8)
+        # An entry is an id and its confidence, which a hit raises up to 3 and a miss sets to 0.
+        self.two[self.i2] = np.where(miss, x << 5, np.minimum(self.e2 + 8, self.e2 | 24))
+        self.one[self.i1] = np.where(x == self.c1, np.minimum(self.e1 + 2, self.e1 | 6), x << 3)
+        self.mark, self.x1 = self.x1 * 37, x.astype(np.int64)
         self.step += 1
         if self.step == self.renew_at:
             self._renew()
@@ -151,7 +152,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             out[p], at[n] = value >> _WORD, p + 1
             low[n] = value << _WORD
             width[n] <<= _WORD
-        model.update(x, other.view(np.int8) + miss)
+        model.update(x, miss, other)
     low += _SMALL - _U(1)  # the only multiple of 2**32 that is surely inside the interval
     carry((low < _SMALL - _U(1)).nonzero()[0])
     out[at] = low >> _WORD
@@ -199,7 +200,7 @@ def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
             width[n] <<= _WORD
             at[n] = p + 1
         out[t] = x
-        model.update(x, other.view(np.int8) + miss)
+        model.update(x, miss, other)
     return out.T
 
 
@@ -272,9 +273,10 @@ def library_encoder(path: str) -> tuple[ChunkEncoder, str]:
         model, names = tokenizer.model, byte_names()
 
         def encode(text: str) -> bytes:
-            """A space or nothing before Latin letters is one pre-token, which goes to the library's model directly."""
-            if known and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) and (text.isascii() or max(text) < "\u0250"):
-                return array(code, [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(names))]).tobytes()
+            """A space before Latin letters is one pre-token, which goes to the library's model directly."""
+            if known and text[1:].isalpha() and text[0] == " " and (text.isascii() or max(text) < "\u0250"):
+                named = names[32] + (text[1:] if text.isascii() else text[1:].encode().decode("latin-1").translate(names))
+                return array(code, [t.id for t in model.tokenize(named)]).tobytes()
             return array(code, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
         _encoders[path] = ChunkEncoder(encode, " \n" if known else "", tuple(t["content"] for t in settings["added_tokens"])), kind
