@@ -1,9 +1,9 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one per block with text; what stands in boilerplate elements gives no text. Text lengths
-are summed over a sliding window of lines; where the sum leaves zero is a surge, where it returns a dive, and the text
-from the first surge to the last dive is kept: of the article element where a page has one, else of the page, whose
-lengths leave out link text, so that lists of links at its ends are cut off.
+Markup is stripped to lines, one per block with text. A line's length is that of its text outside links; it is zero in
+boilerplate elements and, where a page has an article element, outside that. Lengths are summed over a sliding window of
+lines: where the sums rise above a threshold is a surge, where they fall to it a dive, and the lines from each surge to
+the next dive are kept. So a list of links as long as the window parts the text and goes, a lone link stays.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3
+#: Lines of a window, and the characters of text up to which a window counts as empty.
+WINDOW, LEAST = 3, 0
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<(script|style|noscript|template|svg|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?](?:[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)",
@@ -104,8 +105,8 @@ def _ends(tokens: list[tuple[str, bool]]) -> dict[int, tuple[int, bool]]:
     return out
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of link text, inside an article) of each block with text, in page order.
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, length) of each block with text, in page order; the text of boilerplate is empty.
 
     A dropped element is skipped to its end; one that isn't closed properly only to the next block's tag. A dropped
     element around the article doesn't swallow it.
@@ -113,18 +114,18 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     held: list[str] = []
     linked = main = 0
-    in_link, closes = False, re.search(r"<(?:article|main)\b", page, re.I) is not None
+    in_link = skipped = False
     tokens = [m for m in _TOKEN.finditer(page) if m.group(5) is not None or m.group(3) is not None]
-    at_tag = [i for i, m in enumerate(tokens) if m.group(3) is not None]
-    tags = [(tokens[i].group(3).lower(), bool(tokens[i].group(2))) for i in at_tag]
+    tags = [(m.group(3).lower(), bool(m.group(2))) for m in tokens if m.group(3) is not None]
     ends = _ends(tags)
 
     def end_line() -> None:
-        nonlocal linked
-        if text := " ".join(html.unescape("".join(held)).split()):
-            out.append((text, min(linked, len(text)), main > 0))
+        nonlocal linked, skipped
+        text = " ".join(html.unescape("".join(held)).split())
+        if text or skipped:
+            out.append((text, max(0, len(text) - linked), main > 0))
         held.clear()
-        linked = 0
+        linked, skipped = 0, False
 
     tag, until = -1, -1  # until: the number of the tag at which a skipped element ends
     for m in tokens:
@@ -133,6 +134,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if tag >= until:
                 held.append(text)
                 linked += len(" ".join(html.unescape(text).split())) if in_link else 0
+            else:
+                skipped = skipped or not text.isspace()
             continue
         tag += 1
         name, end = tags[tag]
@@ -147,36 +150,53 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in _MAIN:
             main = max(0, main + (-1 if end else 1))
         elif not end and name not in _VOID and name not in ("html", "body"):
-            if name in DROPPED or (name == "header" and not main and closes) or _marked(m.group(4)):
+            if name in DROPPED or (name == "header" and not main) or _marked(m.group(4)):
                 until, proper = ends[tag]
                 if not proper:
                     until = next((k for k in range(tag + 1, len(tags)) if tags[k][0] not in INLINE), len(tags))
     end_line()
-    return out
+    article = any(inside and text for text, _, inside in out)
+    return [(text, length) if inside or not article else ("", 0) for text, length, inside in out]
+
 
+def surges(lengths: list[int], window: int = WINDOW, least: int = LEAST) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each run from a surge to the next dive of the sums over `window` lines.
 
-def main_text(page: str) -> str:
-    """The blocks between the first surge and the last dive, joined by one space; empty if a page has none."""
+    A run begins behind the last line of a window at the threshold and ends before the first line of the next one.
+    With fewer lines than a window, all are one run.
+    """
+    sums = [0]
+    for n in lengths:
+        sums.append(sums[-1] + n)
+    out, begin, at = [], 0, 0
+    for at in range(len(lengths) - window + 1):
+        if sums[at + window] - sums[at] <= least:
+            if at > begin:
+                out.append((begin, at))
+            begin = at + window
+    return [*out, (begin, len(lengths))] if begin < len(lengths) else out
+
+
+def main_text(page: str, window: int = WINDOW, least: int = LEAST) -> str:
+    """The blocks between surges and dives, joined by one space; empty if a page has none.
+
+    A page whose text is all in links has no surge, and gives all of it.
+    """
     found = lines(page)
-    if any(inside for _, _, inside in found):
-        return " ".join(text for text, _, inside in found if inside)
-    lengths = [len(text) - linked for text, linked, _ in found]
-    sums = [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lengths))]
-    if not any(sums):
-        return " ".join(text for text, _, _ in found)
-    begin = next(i for i, total in enumerate(sums) if total)  # the first surge
-    last = max(i for i, n in enumerate(lengths) if n)  # its window reaches on to the last dive
-    begin = 0 if begin < WINDOW else begin  # fewer links than a window are no list
-    end = len(found) if len(found) - 1 - last < WINDOW else last + 1
-    return " ".join(text for text, _, _ in found[begin:end])
-
-
-def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns in keep, text and n_chars of every row; a null page gives an empty text."""
+    lengths = [length for _, length in found]
+    runs = surges(lengths, window, least) if any(lengths) else [(0, len(found))]
+    return " ".join(text for begin, end in runs for text, _ in found[begin:end] if text)
+
+
+def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """The columns in keep, text and n_chars of every row; a null or empty page gives an empty text.
+
+    Rows that repeat an id each come back, an empty table gives an empty table, and other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(p.as_py() or "") for p in b.column(b.num_columns - 1)]
+            texts = [main_text(p.as_py() or "", window, least) for p in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars bigint"

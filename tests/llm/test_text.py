@@ -182,3 +182,41 @@ def test_pieces_equal_whole_texts():
         assert np.frombuffer(encode(text), "<u2").tolist() == own.encode(text, add_special_tokens=False).ids
     finally:
         chunks.KEPT_BYTES = bound
+
+
+def plain_runs(lengths, window, least):
+    """The lines over which no window is empty."""
+    gone = {i + k for i in range(len(lengths) - window + 1) if sum(lengths[i : i + window]) <= least for k in range(window)}
+    return [i for i in range(len(lengths)) if i not in gone]
+
+
+def test_op6_windows_equal_a_plain_version():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        lengths = (rng.integers(0, 60, rng.integers(0, 30)) * (rng.random() < rng.random(1))).tolist()
+        lengths = [n if rng.random() < 0.5 else 0 for n in lengths]
+        for window, least in ((1, 0), (3, 0), (3, 25), (7, 10)):
+            assert [i for a, b in html_text.surges(lengths, window, least) for i in range(a, b)] == plain_runs(lengths, window, least)
+
+
+def test_op6_windows_decide():
+    """Inside an article and outside one, the window's length decides which lists of links go, the threshold which short lines."""
+    links = "".join(f"<li><a href=x>link {k}</a>" for k in range(4))
+    body = f"<p>First paragraph</p><ul>{links}</ul><p>Second paragraph</p><p><a href=y>Read on</a></p><p>Third</p>"
+    every = "First paragraph link 0 link 1 link 2 link 3 Second paragraph Read on Third"
+    for page in (f"<article>{body}</article>", f"<div>{body}</div>"):
+        assert html_text.main_text(page) == "First paragraph Second paragraph Read on Third"
+        assert html_text.main_text(page, window=1) == "First paragraph Second paragraph Third"
+        assert html_text.main_text(page, window=5) == every
+        assert html_text.main_text(page, least=5) == "First paragraph Second paragraph Read on Third"
+        assert html_text.main_text(page, window=1, least=5) == "First paragraph Second paragraph"
+    assert html_text.main_text("<header>Site name and slogan</header><p>Main text</p>") == "Main text"
+    assert html_text.main_text("<p><a href=x>only a link</a></p>") == "only a link"
+
+
+def test_op6_odd_tables(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars string"
+    rows = [(1, "u", "<p>a</p><p>a</p>", "x", "y")] * 3 + [(None, None, "<p>b", None, None), (2, "v", None, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, schema))
+    assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in got.collect()), key=str) == sorted([(1, "u", "a a", 3)] * 3 + [(None, None, "b", 1), (2, "v", "", 0)], key=str)
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
