@@ -30,7 +30,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    taken = F.col("size") * F.size("draws")
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("n_draws"), F.concat_ws(",", F.col("draws.shard").cast("array<string>")).alias("shards"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:

@@ -173,3 +173,45 @@ def test_pipeline_decodes_its_ids(spark):
     bad = spark.createDataFrame([(1, "a", b"\0\0\0\0", hashlib.sha256(b"x").hexdigest(), hashlib.sha256(b"y").hexdigest())], "doc_id bigint, source string, ids binary, _sha256 string, decoded_sha256 string")
     with pytest.raises(Exception, match="don't decode"):
         corpus_pipeline.checked(bad).collect()
+
+
+def test_op4_hypergeometric_draws(spark):
+    """Draws at evenly spaced u have the exact distribution's frequencies, in its whole range and far from its ends."""
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    for k, n, total in ((5, 4, 12), (0, 3, 9), (7, 7, 7), (30, 50, 60), (400, 900, 1800)):
+        u = (F.col("id") + 0.5) / 4000
+        got = Counter(r.x for r in spark.range(4000).select(mixing.hypergeometric(F.lit(k), F.lit(n), F.lit(total), u).alias("x")).collect())
+        want = {x: comb(k, x) * comb(total - k, n - x) / comb(total, n) for x in range(max(0, n + k - total), min(k, n) + 1)}
+        assert set(got) <= set(want) and all(abs(got[x] / 4000 - p) < 0.001 for x, p in want.items())
+
+
+def test_op4_many_sources(spark):
+    """More sources than a node's row holds are split in groups; quotas and shard sizes stay exact."""
+    rows = [(f"s{i:03}", (i * 37) % 50) for i in range(150)] + [(None, 9000)]
+    got = defaultdict(dict)
+    for r in mixing.split_quotas(spark.createDataFrame(rows, "source string, quota int"), 3, 7).collect():
+        got[r.source][r.shard] = r.quota
+    assert {s: sum(q.values()) for s, q in got.items()} == dict(rows)
+    totals = [sum(q[i] for q in got.values()) for i in range(8)]
+    assert max(totals) - min(totals) <= 1 and all(min(q.values()) >= 0 for q in got.values())
+
+
+def test_op4_shards_follow_the_size(spark, monkeypatch):
+    """The number of shards grows with the words, each shard has a partition of its own, and the tree's quotas are what is drawn."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "abc"[i % 3] if i % 2 else "a", "w " * (i % 90)) for i in range(4000)], "doc_id bigint, source string, text string")
+    sizes = []
+    for words in (4_000_000, 40_000):
+        monkeypatch.setattr(mixing, "SHARD_WORDS", words)
+        mixed = mixing.mix(docs)
+        seen = [(r.p, r.mix_shard, r.n) for r in mixed.groupBy(F.spark_partition_id().alias("p"), "mix_shard").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()]
+        assert len({s for _, s, _ in seen}) == len(seen) and len({p for p, _, _ in seen}) == len(seen)
+        sizes.append(sorted(n for _, _, n in seen))
+    assert len(sizes[0]) == 1 and len(sizes[1]) == 8 and sizes[1][-1] < 1.3 * sizes[1][0]
+    plan = mixing.plan_mix(docs).collect()
+    places = Counter((r.source, d.epoch, d.block, d.shard) for r in plan for d in r.draws)
+    assert len({p[:3] for p in places}) == len(places)  # a block of a pass goes to one shard
