@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.shared import table_path
+
 FRAME, RATE = 576, 8000
-#: Bytes of payload that are coded together; a longer payload is coded alone, whole.
-PIECE = 4 << 20
+#: Bytes of payload (a multiple of a frame) that are coded together and that are decoded together; longer ones are cut.
+PIECE, DECODED = 1820 * FRAME, 3640 * FRAME
 #: Fixed values of the format: the coefficients of the fixed predictors.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 _PRECISION, _SHIFT = 10, 8
+_POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])  # of the seek table
 
 
 def _crc_table(poly: int, bits: int, width: int) -> np.ndarray:
@@ -86,18 +90,9 @@ def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return quantised[0], quantised[1]
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload, whose length must be a positive multiple of 576."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    if not len(sizes):
-        return []
-    if (sizes % FRAME).any() or not sizes.all():
-        raise ValueError(f"payloads must be positive multiples of {FRAME} bytes")
-    frames = sizes // FRAME
-    first = np.concatenate([[0], np.cumsum(frames)])
-    x = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128).reshape(-1, FRAME)
+def _frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all frames, bytes of each) of rows of samples with their frame numbers."""
     n = len(x)
-    number = np.arange(n) - np.repeat(first[:-1], frames)
     # The residuals of each predictor, then the cheapest per frame.
     one = np.zeros_like(x)
     one[:, 1:] = np.diff(x, axis=1)
@@ -156,17 +151,47 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     out[begin + head_n - 1] = crc
     crc = _crc16(out, begin, total - 2)
     out[begin + total - 2], out[begin + total - 1] = crc >> 8, crc & 255
+    return out, total
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """A FLAC stream for each payload, whose length must be a positive multiple of 576.
+
+    Frames are coded in runs of PIECE bytes, whatever payloads they belong to, so working memory doesn't grow with them.
+    """
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    if not len(sizes):
+        return []
+    if (sizes % FRAME).any() or not sizes.all():
+        raise ValueError(f"payloads must be positive multiples of {FRAME} bytes")
+    frames = sizes // FRAME
+    first = np.concatenate([[0], np.cumsum(frames)])
+    digests = [hashlib.md5() for _ in payloads]
+    bodies: list[list[bytes]] = [[] for _ in payloads]
+    totals: list[list[np.ndarray]] = [[] for _ in payloads]
+    for at in range(0, int(first[-1]), PIECE // FRAME):
+        stop = min(at + PIECE // FRAME, int(first[-1]))
+        some = range(int(np.searchsorted(first, at, "right")) - 1, int(np.searchsorted(first, stop, "left")))
+        cuts = [(i, max(at, int(first[i])), min(stop, int(first[i + 1]))) for i in some]
+        raw = b"".join(payloads[i][(a - int(first[i])) * FRAME : (b - int(first[i])) * FRAME] for i, a, b in cuts)
+        x = (np.frombuffer(raw, np.uint8).astype(np.int16) - 128).reshape(-1, FRAME)
+        out, total = _frames(x, np.concatenate([np.arange(a, b) - first[i] for i, a, b in cuts]))
+        ends = np.concatenate([[0], np.cumsum(total)])
+        for i, a, b in cuts:
+            digests[i].update(x[a - at : b - at].astype(np.int8).tobytes())
+            totals[i].append(total[a - at : b - at])
+            bodies[i].append(out[ends[a - at] : ends[b - at]].tobytes())
     streams = []
-    for i, payload in enumerate(payloads):
-        a, b = first[i], first[i + 1]
-        t = total[a:b]
+    for payload, digest, body, t in zip(payloads, digests, bodies, map(np.concatenate, totals), strict=True):
         info = struct.pack(">HH", FRAME, FRAME) + int(t.min()).to_bytes(3, "big") + int(t.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5((x[a:b].astype(np.int8)).tobytes()).digest()
-        points = np.zeros(b - a, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        points["sample"], points["offset"], points["n"] = number[a:b] * FRAME, begin[a:b] - begin[a], FRAME
-        table = points.tobytes()
-        body = out[begin[a] : begin[a] + int(t.sum())].tobytes()
-        streams.append(b"fLaC" + b"\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + body)
+        info += (RATE << 44 | 7 << 36 | len(payload)).to_bytes(8, "big") + digest.digest()
+        points = np.zeros(len(t), _POINT)
+        points["sample"], points["offset"], points["n"] = np.arange(len(t)) * FRAME, np.cumsum(t) - t, FRAME
+        # A metadata block is at most 2**24 - 1 bytes long, so many points take several blocks.
+        most = ((1 << 24) - 1) // _POINT.itemsize
+        tables = [points[k : k + most].tobytes() for k in range(0, len(t), most)]
+        heads = [bytes([3 | (128 if k == len(tables) - 1 else 0)]) + len(table).to_bytes(3, "big") + table for k, table in enumerate(tables)]
+        streams.append(b"".join([b"fLaC", b"\0", len(info).to_bytes(3, "big"), info, *heads, *body]))
     return streams
 
 
@@ -174,16 +199,17 @@ def _layout(stream: bytes) -> tuple[bytes, np.ndarray, np.ndarray, int]:
     """(stream info, first samples, byte offsets of the frames, samples) of a stream with a seek point per frame."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, info, points, last = 4, b"", None, False
+    at, info, tables, last = 4, b"", [], False
     while not last:
         last, kind, size = stream[at] > 127, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
         body = stream[at + 4 : at + 4 + size]
         if kind == 0:
             info = body
         elif kind == 3:
-            points = np.frombuffer(body, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+            tables.append(np.frombuffer(body, _POINT))
         at += 4 + size
     packed = int.from_bytes(info[10:18], "big")
+    points = np.concatenate(tables) if tables else None
     if points is None or (packed >> 36 & 31) != 7 or packed >> 41 & 7 or len(points) * FRAME != packed & (1 << 36) - 1:
         raise ValueError(f"only 8-bit mono streams with a seek point for every {FRAME} samples can be read")
     return info, points["sample"].astype(np.int64), points["offset"].astype(np.int64) + at, len(points) * FRAME
@@ -236,19 +262,8 @@ def _signed(v: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
     return v - ((v >> (np.maximum(bits, 1) - 1) & 1) << bits)
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream; a damaged header, frame or sample is an error."""
-    if not streams:
-        return []
-    layouts = [_layout(s) for s in streams]
-    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-    data = np.frombuffer(b"".join(streams), np.uint8)
-    begin = np.concatenate([offsets + b for (_, _, offsets, _), b in zip(layouts, base, strict=False)])
-    owner = np.repeat(np.arange(len(streams)), [len(x[1]) for x in layouts])
-    end = np.concatenate([begin[1:], [0]])
-    final = np.concatenate([owner[1:] != owner[:-1], [True]])
-    end[final] = base[owner[final] + 1]
-    sample = np.concatenate([x[1] for x in layouts])
+def _decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """The bytes (frames x 576) of the frames at data[begin:end], which must start at the given samples."""
     # Headers
     lead = data[begin + 4]
     digit_n = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], [1, 2, 3, 4, 5, 6], 7)
@@ -327,14 +342,63 @@ def decode(streams: list[bytes]) -> list[bytes]:
     x = np.where(constant[None], value[None], x) if not plain else x
     if ((x < -128) | (x > 127)).any():
         raise ValueError("a sample is out of range")
-    payload = (x.T + 128).astype(np.uint8)
-    first = np.concatenate([[0], np.cumsum([len(y[1]) for y in layouts])])
-    out = [payload[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-    signed = (payload ^ 0x80)
-    for (info, _, _, _), a, b in zip(layouts, first[:-1], first[1:], strict=True):
-        if hashlib.md5(signed[a:b].tobytes()).digest() != info[18:34]:
-            raise ValueError("the samples don't match the stream's digest")
-    return out
+    return (x.T + 128).astype(np.uint8)
+
+
+def decode_blocks(streams: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(stream's number, first sample, payload bytes) of all streams in order, in runs of frames of DECODED bytes at most.
+
+    A damaged header, frame or sample is an error, and so are samples that don't match their stream's digest; the
+    latter is known only with a stream's last block.
+    """
+    layouts = [_layout(s) for s in streams]
+    run: list[tuple[int, int, int]] = []  # (stream, first frame, frame after the last)
+    held, most = 0, DECODED // FRAME
+    digest = hashlib.md5()
+
+    def flush() -> Iterator[tuple[int, int, bytes]]:
+        nonlocal digest
+        parts, begin, end, sample, base = [], [], [], [], 0
+        for i, a, b in run:
+            _, samples, offsets, _ = layouts[i]
+            low, high = int(offsets[a]), int(offsets[b]) if b < len(offsets) else len(streams[i])
+            parts.append(streams[i][low:high])
+            begin.append(offsets[a:b] - low + base)
+            end.append(np.append(offsets[a + 1 : b], high) - low + base)
+            sample.append(samples[a:b])
+            base += high - low
+        payload = _decode_frames(np.frombuffer(b"".join(parts), np.uint8), *map(np.concatenate, (begin, end, sample)))
+        at = 0
+        for i, a, b in run:
+            part = payload[at : at + b - a]
+            at += b - a
+            digest.update((part ^ 0x80).tobytes())
+            if b == len(layouts[i][1]):
+                if digest.digest() != layouts[i][0][18:34]:
+                    raise ValueError("the samples don't match the stream's digest")
+                digest = hashlib.md5()
+            yield i, a * FRAME, part.tobytes()
+
+    for i, (_, samples, _, _) in enumerate(layouts):
+        a = 0
+        while a < len(samples):
+            b = min(len(samples), a + most - held)
+            run.append((i, a, b))
+            held += b - a
+            a = b
+            if held == most:
+                yield from flush()
+                run, held = [], 0
+    if run:
+        yield from flush()
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payload of each stream; damage is an error."""
+    parts: list[list[bytes]] = [[] for _ in streams]
+    for i, _, part in decode_blocks(streams):
+        parts[i].append(part)
+    return [b"".join(p) for p in parts]
 
 
 def pad(raw: bytes) -> bytes:
@@ -342,10 +406,10 @@ def pad(raw: bytes) -> bytes:
     return raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME)
 
 
-def _runs(sizes: list[int]) -> Iterator[slice]:
+def _runs(sizes: list[int], most: int) -> Iterator[slice]:
     at, held = 0, 0
     for i, s in enumerate(sizes):
-        if i > at and held + s > PIECE:
+        if i > at and held + s > most:
             yield slice(at, i)
             at, held = i, 0
         held += s
@@ -354,13 +418,16 @@ def _runs(sizes: list[int]) -> Iterator[slice]:
 
 
 def with_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, n_bytes (of the text) and media, the FLAC stream of the padded text (null: empty)."""
+    """The columns in keep, n_bytes (of the text) and media, the FLAC stream of the padded text (null: empty).
+
+    Repeated rows each come back, an empty table gives an empty table, other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(b.num_columns - 1)
             sizes = [len(v) if (v := x.as_buffer()) is not None else 0 for x in raw]
-            for s in _runs(sizes):
+            for s in _runs(sizes, PIECE):
                 part = b.slice(s.start, s.stop - s.start)
                 media = encode([pad(x.as_py() or b"") for x in part.column(part.num_columns - 1)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes[s], pa.int64()), pa.array(media, pa.binary())], [*keep, "n_bytes", "media"])
@@ -369,56 +436,121 @@ def with_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return docs.select(*keep, F.col(text).cast("binary").alias("_raw")).mapInArrow(run, schema)
 
 
-def feature(payload: bytes) -> str:
-    """Samples, mean, root mean square, peak and sign changes of the payload's samples, from exact sums."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
-    changes = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"n={len(x)};mean={int(x.sum()) / len(x):.6f};rms={(int((x * x).sum(dtype=np.int64)) / len(x)) ** 0.5:.6f};peak={int(np.abs(x).max())};changes={changes}"
+class Feature:
+    """Samples, mean, root mean square, peak and sign changes of a payload's samples, from exact sums over its blocks."""
 
+    def __init__(self):
+        self.n = self.total = self.squares = self.peak = self.changes = 0
+        self.last: bool | None = None
 
-def _decoded(media: pa.Array) -> Iterator[tuple[slice, list[bytes], list[bytes]]]:
-    for s in _runs([len(x.as_buffer()) for x in media]):
-        streams = media.slice(s.start, s.stop - s.start).to_pylist()
-        yield s, streams, decode(streams)
+    def update(self, block: bytes) -> None:
+        x = np.frombuffer(block, np.uint8).astype(np.int32) - 128
+        if not len(x):
+            return
+        below = x < 0
+        self.changes += int((below[1:] != below[:-1]).sum()) + (self.last is not None and bool(below[0]) != self.last)
+        self.n, self.total, self.squares = self.n + len(x), self.total + int(x.sum(dtype=np.int64)), self.squares + int((x * x).sum(dtype=np.int64))
+        self.peak, self.last = max(self.peak, int(np.abs(x).max())), bool(below[-1])
 
+    def text(self) -> str:
+        return f"n={self.n};mean={self.total / self.n:.6f};rms={(self.squares / self.n) ** 0.5:.6f};peak={self.peak};changes={self.changes}"
 
-def pcm_blocks(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = 8 * FRAME) -> DataFrame:
-    """The columns in keep, sample_offset, n_samples and pcm: each stream's samples (unsigned bytes) in blocks.
 
-    A block can be sought by its offset; the last may be shorter. Rows without media give no blocks.
+def pcm_blocks(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = 256 * FRAME) -> DataFrame:
+    """The columns in keep, sample_offset, n_samples and pcm: each stream's samples (unsigned bytes) in blocks of `block`.
+
+    A block can be sought by its offset; the last may be shorter, and a stream's blocks follow each other. Rows without
+    media give no blocks, repeated rows each give theirs; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s, _, payloads in _decoded(b.column(b.num_columns - 1)):
-                cuts = [(row, at, p[at : at + block]) for row, p in enumerate(payloads) for at in range(0, len(p), block)]
-                rows = pa.array([s.start + row for row, _, _ in cuts], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(rows) for c in b.columns[:-1]), pa.array([at for _, at, _ in cuts], pa.int64()), pa.array([len(p) for _, _, p in cuts], pa.int64()), pa.array([p for _, _, p in cuts], pa.binary())],
-                    [*keep, "sample_offset", "n_samples", "pcm"],
-                )
+            column = b.column(b.num_columns - 1)
+            for s in _runs([len(x.as_buffer()) for x in column], DECODED):
+                part = b.slice(s.start, s.stop - s.start)
+                held: list[tuple[int, int, bytes]] = []
+                size = 0
+
+                def flush() -> pa.RecordBatch:
+                    rows = pa.array([i for i, _, _ in held], pa.int64())  # noqa: B023
+                    data = [pa.array([at for _, at, _ in held], pa.int64()), pa.array([len(p) for _, _, p in held], pa.int64()), pa.array([p for _, _, p in held], pa.binary())]  # noqa: B023
+                    return pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns[:-1]), *data], [*keep, "sample_offset", "n_samples", "pcm"])  # noqa: B023
+
+                for i, first, payload in _even(decode_blocks(part.column(part.num_columns - 1).to_pylist()), block):
+                    held.append((i, first, payload))
+                    size += len(payload)
+                    if size >= DECODED:
+                        yield flush()
+                        held, size = [], 0
+                if held:
+                    yield flush()
 
     schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep) + ", sample_offset bigint, n_samples bigint, pcm binary"
     return media.filter("media is not null").select(*keep, "media").mapInArrow(run, schema)
 
 
+def _even(parts: Iterator[tuple[int, int, bytes]], block: int) -> Iterator[tuple[int, int, bytes]]:
+    """Consecutive (stream, first sample, bytes) cut anew, so that all blocks of a stream but its last have `block` bytes."""
+    own, start, held = -1, 0, b""
+    for i, first, payload in parts:
+        if i != own:
+            if held:
+                yield own, start, held
+            own, start, held = i, first, b""
+        held += payload
+        while len(held) >= block:
+            yield own, start, held[:block]
+            start, held = start + block, held[block:]
+    if held:
+        yield own, start, held
+
+
 def digests(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """The columns in keep, and what is read back from media: sizes, digests and the feature of each row."""
-    import zlib
+    """The columns in keep, and what is read back from media by its PCM blocks: sizes, digests and the feature of each row.
+
+    A row's blocks follow each other in its partition, so sums run over them and no payload is held whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, streams, payloads in _decoded(b.column(b.num_columns - 1)):
-                out = [
-                    pa.array([len(p) for p in payloads], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                    pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
-                    pa.array([len(m) for m in streams], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in streams]),
-                    pa.array([feature(p) for p in payloads]),
-                ]
-                yield pa.RecordBatch.from_arrays([*(c.slice(s.start, s.stop - s.start) for c in b.columns[:-1]), *out], [*keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        row, sha, tail, sums = None, hashlib.sha256(), b"", Feature()
+        rows: list[pa.RecordBatch] = []
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            got = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            columns = pa.Table.from_batches(rows).combine_chunks().to_batches()[0].columns
+            return pa.RecordBatch.from_arrays([*columns, *got], [*keep, "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
+        for b in batches:
+            offsets, pcm = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            for k, (offset, block) in enumerate(zip(offsets.to_pylist(), pcm, strict=True)):
+                if not offset and row is not None:
+                    rows.append(row)
+                    out.append((sums.n, sha.hexdigest(), zlib.crc32(tail), sums.text()))
+                    sha, tail, sums = hashlib.sha256(), b"", Feature()
+                data = block.as_py()
+                row = b.slice(k, 1).select(range(b.num_columns - 2)) if not offset else row
+                sha.update(data)
+                sums.update(data)
+                tail = (tail + data[-32:])[-32:]
+            if len(out) >= 1000:
+                yield flush()
+                rows, out = [], []
+        if row is not None:
+            rows.append(row)
+            out.append((sums.n, sha.hexdigest(), zlib.crc32(tail), sums.text()))
+            yield flush()
+
+    stored = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    blocks = pcm_blocks(stored, (*keep, "media_bytes", "media_sha256")).drop("n_samples")
     schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
-    schema += ", payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.select(*keep, "media").mapInArrow(run, schema)
+    schema += ", media_bytes bigint, media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string"
+    return blocks.mapInArrow(run, schema)
+
+
+def stored(media: DataFrame) -> DataFrame:
+    """media written as a table in the shared folder and read back."""
+    path = table_path(media.sparkSession, "media")
+    media.write.parquet(path)
+    return media.sparkSession.read.schema(media.schema).parquet(path)

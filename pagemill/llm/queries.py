@@ -50,7 +50,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digests(flac.with_media(_table(spark, sf_dir, "documents")))
+    return flac.digests(flac.stored(flac.with_media(_table(spark, sf_dir, "documents"))))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -220,3 +221,90 @@ def test_op6_odd_tables(spark):
     got = html_text.extract(spark.createDataFrame(rows, schema))
     assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in got.collect()), key=str) == sorted([(1, "u", "a a", 3)] * 3 + [(None, None, "b", 1), (2, "v", "", 0)], key=str)
     assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+def plain_flac(stream):
+    """The samples of a stream, bit by bit."""
+    at, last = 4, False
+    while not last:
+        last, at = stream[at] > 127, at + 4 + int.from_bytes(stream[at + 1 : at + 4], "big")
+    bits = "".join(f"{b:08b}" for b in stream[at:])
+    pos, out = 0, []
+
+    def take(n):
+        nonlocal pos
+        pos += n
+        return int(bits[pos - n : pos], 2) if n else 0
+
+    def signed(n):
+        v = take(n)
+        return v - (1 << n) if v >> (n - 1) else v
+
+    def rice(k):
+        nonlocal pos
+        zeros = bits.index("1", pos) - pos
+        pos += zeros + 1
+        v = zeros << k | take(k)
+        return (v >> 1) ^ -(v & 1)
+
+    while pos < len(bits):
+        assert take(16) == 0xFFF8 and take(16) == 0x2002
+        lead = take(8)
+        take(8 * (0 if lead < 128 else f"{lead:08b}".index("0") - 1) + 8)
+        kind, x = take(8) >> 1, []
+        if kind == 0:
+            x = [signed(8)] * 576
+        elif kind == 1:
+            x = [signed(8) for _ in range(576)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x = [signed(8) for _ in range(order)]
+            c, shift = [(), (1,), (2, -1)][order], 0
+            if kind >= 32:
+                precision = take(4) + 1
+                shift = take(5)
+                c = [signed(precision) for _ in range(order)]
+            assert take(6) == 0
+            k = take(4)
+            while len(x) < 576:
+                x.append(rice(k) + (sum(a * b for a, b in zip(c, x[::-1], strict=False)) >> shift))
+        out += x
+        pos = -(-pos // 8) * 8 + 16
+    return bytes(v + 128 for v in out)
+
+
+def test_op8_equals_a_plain_decoder():
+    rng = np.random.default_rng(7)
+    waves = [rng.integers(0, 256, 576 * 2), np.zeros(576 * 2), 128 + 100 * np.sin(np.arange(576 * 3) / 9), 60 + rng.integers(0, 9, 576 * 2)]
+    payloads = [w.astype(np.uint8).tobytes() for w in waves] + [flac.pad("Plain text, éü. ".encode() * 90)]
+    assert [plain_flac(m) for m in flac.encode(payloads)] == payloads
+
+
+def test_op8_long_payload_in_bounded_memory():
+    """A text of 50 MB is coded and decoded in under 500 MB, stream and payload included."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, sys; from pagemill.llm import flac; import numpy as np\n"
+        "p = flac.pad(np.random.default_rng(1).integers(97, 123, 50_000_000, dtype=np.uint8).tobytes()); m = flac.encode([p])\n"
+        "assert all(p[at : at + len(b)] == b for _, at, b in flac.decode_blocks(m)); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, cwd=Path(__file__).resolve().parents[2])
+    assert int(done.stdout.split()[-1]) < 500_000, done.stderr
+
+
+def test_op8_stored_odd_tables(spark):
+    schema = "doc_id bigint, text string, media string, n_bytes int"
+    rows = [(1, "a", "x", 1), (1, "a", "x", 1), (None, None, None, None), (3, "ab " * 300_000, "y", 2), (4, "", "", 0)]
+    got = flac.digests(flac.stored(flac.with_media(spark.createDataFrame(rows, schema)))).collect()
+    assert sorted((r.doc_id, r.n_bytes) for r in got if r.doc_id) == [(1, 1), (1, 1), (3, 900_000), (4, 0)] and len(got) == 5
+    for r in got:
+        payload = flac.pad({1: b"a", 3: b"ab " * 300_000}.get(r.doc_id, b""))
+        x = np.frombuffer(payload, np.uint8).astype(int) - 128
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        changes = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        assert r.feature == f"n={len(x)};mean={x.sum() / len(x):.6f};rms={(x * x).sum() ** 0.5 / len(x) ** 0.5:.6f};peak={abs(x).max()};changes={changes}"
+        media = flac.encode([payload])[0]
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    assert flac.digests(flac.stored(flac.with_media(spark.createDataFrame([], schema)))).collect() == []
