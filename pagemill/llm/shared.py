@@ -30,3 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def slices(column, rows: int = 500, most: int = 4 << 20):
+    """(first row, rows) of runs of an Arrow column of strings or bytes: up to `rows` and about `most` bytes; a longer value comes alone."""
+    at, held = 0, 0
+    for i, value in enumerate(column):
+        buffer = value.as_buffer()
+        size = len(buffer) if buffer is not None else 0
+        if i > at and (i - at >= rows or held + size > most):
+            yield at, i - at
+            at, held = i, 0
+        held += size
+    if at < len(column):
+        yield at, len(column) - at

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import connected_components
-from pagemill.llm.shared import cut
+from pagemill.llm.shared import cut, slices
 
 _LANES = np.uint64(0x0001000100010001)
 
@@ -89,7 +89,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            fps = [fingerprints(texts.slice(at, 500).to_pylist(), width, words) for at in range(0, b.num_rows, 500)]
+            fps = [fingerprints(texts.slice(at, n).to_pylist(), width, words) for at, n in slices(texts)]
             fp = np.concatenate(fps) if fps else np.empty((0, words), np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _to_arrow(fp)], [*keep, "fp"])
 
@@ -215,12 +215,14 @@ def search(members: np.ndarray, queries: np.ndarray, fps: np.ndarray, radius: in
             found(part[a], m[b])
 
 
-def links(fps: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, near: int | None = None, leaf: int = 128, sample: int = 16384, max_leaves: int = 4096) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, near: int | None = None, leaf: int = 128, sample: int = 16384, max_leaves: int = 4096, shard_rows: int = 2_000_000) -> DataFrame:
     """(src, dst) links that span the components of fps(fp, rep), whose fp are distinct and rep are its node numbers.
 
     Each tree searches its part of the bits within `near` bits, radius // parts unless given; with that, no pair is missed.
-    The bounded sample of fingerprints (those with the smallest hash) only places the cuts. Each shard joins what it
-    finds and returns at most one link for each of its fingerprints, never all pairs.
+    The bounded sample of fingerprints (those with the smallest hash) only places the cuts. A leaf that more than
+    shard_rows fingerprints reach, because there are very many or because they lie close together, is compared in pairs
+    of blocks, each a shard of its own; inside a shard a local tree goes on splitting. Each shard joins what it finds and
+    returns at most one link for each of its fingerprints, never all pairs.
     """
     n = fps.count()
     rows = fps.select("fp").orderBy(F.xxhash64(F.lit(5), "fp"), "fp").limit(sample).toArrow()
@@ -229,14 +231,21 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, near:
     near = radius // parts if near is None else near
     trees = [VantageTree(drawn, [(mask, near), (None, radius)], size) for mask in part_masks(words, parts)]
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 20000):
-                part = b.slice(at, 20000)
-                fp, rep = _from_arrow(part.column(0), words), np.asarray(part.column(1))
-                for k, tree in enumerate(trees):
-                    i, shard, home = tree.route(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard * len(trees) + k), _to_arrow(fp[i]), pa.array(rep[i]), pa.array(home)], ["shard", "fp", "rep", "home"])
+    def routed(counted: bool):
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 20000):
+                    part = b.slice(at, 20000)
+                    fp, rep = _from_arrow(part.column(0), words), np.asarray(part.column(1))
+                    for k, tree in enumerate(trees):
+                        i, shard, home = tree.route(fp)
+                        if counted:
+                            found, each = np.unique(shard * len(trees) + k, return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(each)], ["shard", "rows"])
+                        else:
+                            yield pa.RecordBatch.from_arrays([pa.array(shard * len(trees) + k), _to_arrow(fp[i]), pa.array(rep[i]), pa.array(home)], ["shard", "fp", "rep", "home"])
+
+        return route
 
     def pairs(group: pa.Table) -> pa.Table:
         rep, home = np.asarray(group.column("rep")), np.asarray(group.column("home").combine_chunks())
@@ -247,8 +256,16 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, near:
         moved = np.flatnonzero(sets.label != np.arange(len(fp)))
         return pa.table({"src": pa.array(rep[moved]), "dst": pa.array(rep[sets.label[moved]])})
 
-    routed = fps.select("fp", "rep").mapInArrow(route, "shard bigint, fp binary, rep bigint, home boolean")
-    return routed.groupBy("shard").applyInArrow(pairs, "src bigint, dst bigint")
+    sizes = fps.select("fp", "rep").mapInArrow(routed(True), "shard bigint, rows bigint").groupBy("shard").agg(F.sum("rows").alias("rows"))
+    large = cut(sizes.filter(F.col("rows") > shard_rows).select("shard", F.ceil(F.col("rows") / shard_rows).cast("int").alias("blocks")))
+    rows = fps.select("fp", "rep").mapInArrow(routed(False), "shard bigint, fp binary, rep bigint, home boolean")
+    if not (n_large := large.count()):
+        return rows.groupBy("shard").applyInArrow(pairs, "src bigint, dst bigint")
+    known = rows.join(F.broadcast(large) if n_large <= 10_000 else large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64(F.lit(9), "rep"), "blocks").cast("int")
+    spread = known.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = spread.select("shard", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp", "rep", "home")
+    return paired.groupBy("shard", "lo", "hi").applyInArrow(pairs, "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, words: int = 1, parts: int = 2, near: int | None = None) -> DataFrame:
@@ -272,8 +289,8 @@ def _signed(docs: DataFrame, width: int, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at, n in slices(b.column(2)):
+                part = b.slice(at, n)
                 texts = part.column(2).to_pylist()
                 nodes = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 43) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), _to_arrow(fingerprints(texts, width, words, distinct=True))], ["doc_id", "raw", "node", "fp"])
@@ -372,8 +389,8 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at, n in slices(b.column(1)):
+                part = b.slice(at, n)
                 sets = [np.unique(_hashes(t, width)).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 

@@ -64,13 +64,15 @@ def test_op1_odd_tables(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
-def test_links_find_every_pair(spark):
+@pytest.mark.parametrize("options", [{"leaf": 64}, {"leaf": 64, "max_leaves": 2, "shard_rows": 700}])
+def test_links_find_every_pair(spark, options):
+    """Also where leaves are few and far above the size of a shard, so that they are compared in pairs of blocks."""
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     near = fps[rng.integers(0, 3000, 3000)] ^ (np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64))
     all_fps = np.unique(np.concatenate([fps, near]))
     df = spark.createDataFrame([(int(f).to_bytes(8, "big"), i) for i, f in enumerate(all_fps)], "fp binary, rep bigint").select(F.col("fp").cast("binary"), "rep")
-    found = connected_components(simhash.links(df, leaf=64)).toPandas()
+    found = connected_components(simhash.links(df, **options)).toPandas()
     distance = np.stack([np.bitwise_count(all_fps ^ f) <= 3 for f in all_fps])
     label = np.arange(len(all_fps))
     while True:
@@ -182,3 +184,19 @@ def test_stage_recall_at_the_required_similarity(spark):
 
 def brute_force_pairs(rows):
     return [i for i in range(0, len(rows), 2) if 5 * len(shingle_set(rows[i][1]) & shingle_set(rows[i + 1][1])) >= 4 * len(shingle_set(rows[i][1]) | shingle_set(rows[i + 1][1]))]
+
+
+def test_components_of_stars_chains_and_pairs(spark, monkeypatch):
+    from pagemill.llm import components
+
+    monkeypatch.setattr(components, "LARGE_HUB", 20)
+    monkeypatch.setattr(components, "BROADCAST_HUBS", 1)
+    pairs = [(0, k) for k in range(100, 190)] + [(k, 50) for k in range(200, 260)] + [(50, 7), (7, 0)] + [(300 + k, 301 + k) for k in range(40)] + [(400, 401), (403, 402), (405, 404), (404, 406)]
+    pairs += [(5, 5), (None, 3), (500, 499), (500, 498), (501, 500)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs * 2, "src bigint, dst bigint")).collect()}
+    real = [(a, b) for a, b in pairs if a is not None and a != b]
+    nodes = sorted({x for p in real for x in p})
+    at = {x: i for i, x in enumerate(nodes)}
+    label = plain_components(len(nodes), [(at[a], at[b]) for a, b in real])
+    assert got == {x: nodes[label[at[x]]] for x in nodes}
+    assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).collect() == []
