@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.wordhash import WORD, held_out, labelled_sample, pieces, tokens
 
 BITS = 22
-#: The most labelled rows that positives come from, the most unlabelled rows, and the most words that a model weighs.
-LABELLED_ROWS, UNLABELLED_ROWS, WORDS = 24_000, 8_000, 512
+#: The most labelled rows that are learnt from.
+LABELLED_ROWS = 24_000
 
 
 #: Words also count by their beginnings of so many bytes, so that inflected forms share a weight.
@@ -27,41 +27,43 @@ def words(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return (h[real] >> np.uint64(64 - bits)).astype(np.int64), doc[real]
 
 
-def _vectors(rows: DataFrame, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sets of words of a bounded sample, in order of doc_id."""
+def _vectors(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature) of the sets of words of a bounded sample in order of doc_id, and the rows' labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(words([t or b""], bits)[0]).astype(np.int32) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "label", "words"])
 
-    got = rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, words array<int>").toArrow()
-    ids, sets = np.asarray(got.column("doc_id")), got.column("words").combine_chunks()
-    if not len(ids):
-        return [], ids
-    at, values = np.asarray(sets.offsets), np.asarray(sets.values)
-    order = np.argsort(ids, kind="stable")
-    return [values[at[i] : at[i + 1]] for i in order], ids[order]
+    got = rows.select("doc_id", "label", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, label int, words array<int>").toArrow()
+    if not got.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    got = got.sort_by("doc_id").combine_chunks()
+    sets = got.column("words").combine_chunks()
+    return np.repeat(np.arange(len(sets)), np.diff(np.asarray(sets.offsets))), np.asarray(sets.values).astype(np.int64), np.asarray(got.column("label"))
 
 
-def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
+def nnpu(row: np.ndarray, column: np.ndarray, labels: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """A linear model by the non-negative risk: prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)), sigmoid loss.
 
-    When the part in the maximum falls below zero, a step ascends it instead, which keeps the model from fitting the
-    unlabelled positives as negatives. Adam, on a bootstrap of both sets.
+    (row, column) are the ones of a 0-1 matrix with a row for each label; the positives are the rows with label 1, and
+    all rows are the unlabelled text. When the part in the maximum falls below zero, a step ascends it instead, which
+    keeps the model from fitting the unlabelled positives as negatives. Adam, on a bootstrap of both sets.
     """
     rng = np.random.default_rng(seed)
-    pos, unl = pos[rng.integers(0, len(pos), len(pos))], unl[rng.integers(0, len(unl), len(unl))]
-    w, b = np.zeros(pos.shape[1]), -1.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    soft = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    n, size = len(labels), int(column.max(initial=-1)) + 1
+    draw = lambda of: np.bincount(rng.choice(of, len(of)), minlength=n) / len(of)
+    pos, unl = draw(np.flatnonzero(labels > 0)), draw(np.arange(n))
+    w, b = np.zeros(size), -1.0
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        sp, su = soft(pos @ w + b), soft(unl @ w + b)
-        dp, du = sp * (1 - sp), su * (1 - su)  # slope of the loss as negative; as positive its opposite
-        grad = lambda x, d: np.append(x.T @ d, d.sum()) / len(d)
-        negative = su.mean() - prior * sp.mean()
-        rest = grad(unl, du) - prior * grad(pos, dp)
-        g = -prior * grad(pos, dp) + rest if negative >= 0 else -rest
+        s = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], n) + b, -30, 30)))
+        slope = s * (1 - s)  # of the loss as negative; as positive its opposite
+        grad = lambda d: np.append(np.bincount(column, d[row], size), d.sum())
+        toward, against = grad(pos * slope), grad(unl * slope)
+        negative = unl @ s - prior * (pos @ s)
+        rest = against - prior * toward
+        g = -prior * toward + rest if negative >= 0 else -rest
         g[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -69,39 +71,29 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate:
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, models: int = 3, labelled: int = LABELLED_ROWS, unlabelled: int = UNLABELLED_ROWS, bits: int = BITS, most: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word features, weights of each model, biases) from bounded samples outside the held-out rows.
+def train(docs: DataFrame, labels: DataFrame, models: int = 3, bound: int = LABELLED_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word features, weights of each model, biases) from a bounded sample of labelled rows outside the held-out ones.
 
-    Positives are confirmed toxic rows; the unlabelled rows are drawn from all documents by hash. The prior is the share of
-    toxic rows among the labelled. Words are weighed if they are surely commoner among the positives than among
-    the unlabelled. Without positives no word is weighed and scores stay below 0.5.
+    Positives are its confirmed toxic rows; its whole text, labels ignored, is the unlabelled text, so that the prior is
+    the share of toxic rows of the very rows that it is used for. Words are weighed if they are surely commoner among
+    the positives than among all. Without positives no word is weighed and scores stay below 0.5.
     """
-    known = labelled_sample(docs, labels, "toxic", labelled)
-    fold = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    drawn = fold.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(unlabelled)
-    pos, _ = _vectors(known.filter("label > 0"), bits)
-    unl, _ = _vectors(fold.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), bits)
+    row, word, known = _vectors(labelled_sample(docs, labels, "toxic", bound), bits)
     none = np.empty(0, np.int64), np.zeros((1, 0)), np.array([-2.0])
-    if not pos or not unl:
+    positives = int((known > 0).sum())
+    if not positives:
         return none
-    shares = labels.filter(~held_out(F.col("doc_id"))).agg(F.avg((F.col("toxic") > 0).cast("int")).alias("p")).first()
-    prior = min(max(float(shares.p), 0.001), 0.9)
-    df = lambda sets: np.bincount(np.concatenate(sets), minlength=1 << bits)
-    in_pos, in_unl = df(pos), df(unl)
-    p, u = (in_pos + 0.5) / (len(pos) + 1), (in_unl + 0.5) / (len(unl) + 1)
-    z = (p - u) / np.sqrt(u * (1 - u) * (1 / len(pos) + 1 / len(unl)))
-    sure = np.flatnonzero((in_pos >= 5) & (z > 6) & (p > 2 * u))
-    chosen = np.sort(sure[np.argsort(-z[sure], kind="stable")][:most])
+    prior = min(max(positives / len(known), 0.001), 0.9)
+    in_pos, in_all = np.bincount(word[known[row] > 0], minlength=1 << bits), np.bincount(word, minlength=1 << bits)
+    p, u = (in_pos + 0.5) / (positives + 1), (in_all + 0.5) / (len(known) + 1)
+    z = (p - u) / np.sqrt(u * (1 - u) * (1 / positives + 1 / len(known)))
+    chosen = np.flatnonzero((in_pos >= 5) & (z > 6) & (p > 2 * u))
     if not len(chosen):
         return none
-
-    def dense(sets: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(sets), len(chosen)))
-        for i, s in enumerate(sets):
-            x[i, np.flatnonzero(np.isin(chosen, s, assume_unique=True))] = 1
-        return x
-
-    found = [nnpu(dense(pos), dense(unl), prior, seed=k) for k in range(models)]
+    column = np.searchsorted(chosen, word)
+    column[column == len(chosen)] = 0
+    real = chosen[column] == word
+    found = [nnpu(row[real], column[real], known, prior, seed=k) for k in range(models)]
     return chosen, np.stack([w for w, _ in found]), np.array([b for _, b in found])
 
 
@@ -113,7 +105,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     from. Other columns are not read. An empty table gives an empty table.
     """
     chosen, weights, biases = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((chosen, weights, biases))  # at most WORDS weights for each model
+    shared = docs.sparkSession.sparkContext.broadcast((chosen, weights, biases))  # weights of words of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, weights, biases = shared.value

@@ -87,8 +87,10 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(doc_id, text, label) of at most `bound` labelled rows that are not held out: those with the smallest hash.
 
-    Only the bounded list of ids is broadcast. Conflicting labels of an id count as the largest.
+    Only the bounded list of ids is broadcast. Conflicting labels of an id count as the largest; of rows that repeat an
+    id the text with the smallest hash is taken, so that the bound holds for rows too.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     drawn = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.max("label").alias("label"))

@@ -215,3 +215,93 @@ def test_op4_shards_follow_the_size(spark, monkeypatch):
     plan = mixing.plan_mix(docs).collect()
     places = Counter((r.source, d.epoch, d.block, d.shard) for r in plan for d in r.draws)
     assert len({p[:3] for p in places}) == len(places)  # a block of a pass goes to one shard
+
+
+def plain_ngrams(text, bits):
+    """Unigrams, bigrams and repeats of the runs of letters and of marks, counted one by one, by the module's own hash of each run."""
+    from pagemill.llm import wordhash
+
+    import numpy as np
+
+    runs, kind = [], None
+    for b in text.lower():
+        now = 0 if b <= 32 else 1 if chr(b).isalnum() and b < 128 or b >= 128 else 2
+        if now and now == kind:
+            runs[-1] += bytes([b])
+        elif now:
+            runs.append(bytes([b]))
+        kind = now
+    h = [int(wordhash.tokens([r])[0][0]) for r in runs]
+    two = [int(wordhash.mixed(np.array([(3 * a + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:])]
+    return Counter(x >> 64 - bits for x in h + two + [0x5EED for a, b in zip(h, h[1:]) if a == b])
+
+
+def test_op2_equals_a_plain_version(spark):
+    """The same FTRL steps and dot products with dictionaries, one coordinate at a time."""
+    from math import exp, sqrt
+
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("good fine nice bad, junk!! $$$ É".split()) for _ in range(rng.randint(0, 40)))) for i in range(120)] + [(500, None), (501, "junk " * 3000)]
+    labels = [(i, int((t or "").count("junk") < 4)) for i, t in rows if i % 3]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in quality.classify(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    sparse = {i: plain_ngrams((t or "").encode(), quality.BITS) for i, t in rows}
+    learnt = sorted(i for i, _ in labels if zlib.crc32(str(i).encode()) % 5)
+    order, truth = [learnt[k] for k in np.random.default_rng(11).permutation(len(learnt))], dict(labels)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= 0.1 else -(z[k] - (0.1 if z[k] > 0 else -0.1)) / ((1 + sqrt(n[k])) / 0.5 + 1)
+
+    def vector(i):
+        total = max(1, sum(sparse[i].values()))
+        return [*((k, c / sqrt(total)) for k, c in sparse[i].items()), ("bias", 1.0)]
+
+    for i in order * 4:
+        x = vector(i)
+        w = {k: weight(k) for k, _ in x}
+        error = 1 / (1 + exp(-sum(w[k] * v for k, v in x))) - truth[i]
+        for k, v in x:
+            g = error * v
+            z[k] += g - (sqrt(n[k] + g * g) - sqrt(n[k])) / 0.5 * w[k]
+            n[k] += g * g
+    for i, _ in rows:
+        assert got[i] == pytest.approx(1 / (1 + exp(-sum(weight(k) * v for k, v in vector(i)))), abs=1e-4)
+
+
+def test_op9_risk_equals_a_plain_version():
+    """The non-negative risk's steps with dense matrices, on the same bootstrap."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    labels = (np.arange(300) % 6 == 0).astype(int)
+    x = (rng.random((300, 7)) < np.where(labels[:, None], 0.4, 0.1)).astype(float)
+    row, column = np.nonzero(x)
+    got = toxicity.nnpu(row, column, labels, 1 / 6, steps=120, seed=5)
+    draw = np.random.default_rng(5)
+    pos = x[draw.choice(np.flatnonzero(labels), 50)]
+    unl = x[draw.choice(np.arange(300), 300)]
+    w, m, v = np.append(np.zeros(7), -1.0), np.zeros(8), np.zeros(8)
+    one = lambda a: np.hstack([a, np.ones((len(a), 1))])
+    flips = 0
+    for t in range(1, 121):
+        sp, su = (1 / (1 + np.exp(-one(a) @ w)) for a in (pos, unl))
+        gp, gu = (one(a).T @ (s * (1 - s)) / len(a) for a, s in ((pos, sp), (unl, su)))
+        negative = su.mean() - sp.mean() / 6
+        flips += negative < 0
+        g = gu - gp / 3 if negative >= 0 else gp / 6 - gu
+        g[:-1] += 1e-4 * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(np.append(*got), w, atol=1e-6)
+
+
+def test_classifiers_take_a_row_for_each_labelled_id(spark):
+    from pagemill.llm.wordhash import labelled_sample
+
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None), (3, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None)], "doc_id bigint, toxic int")
+    got = [(r.doc_id, r.label) for r in labelled_sample(docs, labels, "toxic", 10).collect()]
+    assert sorted(got) == sorted((i, 1) for i in (1, 2) if zlib.crc32(str(i).encode()) % 5)
