@@ -338,7 +338,7 @@ def _in_buckets(group: pa.Table, words: int, found) -> None:
 
 
 def closest_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int, size: int) -> DataFrame:
-    """(node, other): every node that shares a bucket with another within radius, and the closest with a smaller number."""
+    """(node, other, near): every node that shares a bucket with another within radius, the closest with a smaller number, and how many at most."""
 
     def run(group: pa.Table) -> pa.Table:
         out = []
@@ -346,42 +346,95 @@ def closest_candidates(fps: DataFrame, n: int, radius: int, words: int, tables:
         def found(fp, node, label, rows, differ):
             hit = differ <= radius
             hit[np.arange(len(rows)), rows] = False
-            any_hit = hit.any(1)
-            if any_hit.any():
-                lower = np.where(hit & (np.arange(len(node))[None, :] < rows[:, None]), differ, 255)[any_hit]
+            near = hit.sum(1)
+            some = near > 0
+            if some.any():
+                lower = np.where(hit & (np.arange(len(node))[None, :] < rows[:, None]), differ, 255)[some]
                 best = lower.argmin(1)
-                out.append((node[rows[any_hit]], node[best], lower[np.arange(len(best)), best].astype(np.int32)))
+                out.append((node[rows[some]], node[best], lower[np.arange(len(best)), best].astype(np.int32), near[some].astype(np.int32)))
 
         _in_buckets(group, words, found)
-        a, b, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
-        return pa.table({"node": pa.array(a), "other": pa.array(b, mask=d == 255), "differ": pa.array(d)})
+        a, b, d, near = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32))
+        return pa.table({"node": pa.array(a), "other": pa.array(b, mask=d == 255), "differ": pa.array(d), "near": pa.array(near)})
 
-    each = _buckets(fps, n, words, tables, size).groupBy("shard").applyInArrow(run, "node bigint, other bigint, differ int")
-    return each.groupBy("node").agg(F.min_by("other", "differ").alias("other"))
+    each = _buckets(fps, n, words, tables, size).groupBy("shard").applyInArrow(run, "node bigint, other bigint, differ int, near int")
+    return each.groupBy("node").agg(F.min_by("other", "differ").alias("other"), F.max("near").alias("near"))
 
 
 def open_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int, size: int) -> DataFrame:
-    """(src, dst) of all pairs within radius that share a bucket and have different labels, each from its first table."""
+    """(src, dst, dense) of all pairs within radius that share a bucket and have different labels, each from its first table.
+
+    A label is twice a group's number, and one more for a dense node. Pairs of dense nodes don't come: a bucket gives
+    links that span them instead, marked dense, at most one for each node.
+    """
     positions = sampled_bits(64 * words, tables, size)
 
     def run(group: pa.Table) -> pa.Table:
         out, t = [], int(group.column("t")[0].as_py())
 
         def found(fp, node, label, rows, differ):
-            i, j = np.nonzero((differ <= radius) & (label[rows][:, None] != label[None, :]) & (np.arange(len(node))[None, :] < rows[:, None]))
+            # A label's lowest bit says whether its node is dense.
+            dense, group_of = (label & 1).astype(bool), label >> 1
+            i, j = np.nonzero((differ <= radius) & (group_of[rows][:, None] != group_of[None, :]) & (np.arange(len(node))[None, :] < rows[:, None]))
+            both = dense[rows[i]] & dense[j]
+            if both.any():
+                sets = _Sets(len(node))
+                sets.join(rows[i[both]], j[both])
+                moved = np.flatnonzero(sets.label != np.arange(len(node)))
+                out.append((node[moved], node[sets.label[moved]], np.ones(len(moved), bool)))
+                i, j = i[~both], j[~both]
             for at in range(0, len(i), 20000):
                 a, b = rows[i[at : at + 20000]], j[at : at + 20000]
                 bits = np.unpackbits((fp[a] ^ fp[b]).astype(">u8").view(np.uint8).reshape(len(a), -1), axis=1)
                 first = np.ones(len(a), bool)
                 for chosen in positions[:t]:
                     first &= bits[:, chosen].any(1)
-                out.append((node[a[first]], node[b[first]]))
+                out.append((node[a[first]], node[b[first]], np.zeros(int(first.sum()), bool)))
 
         _in_buckets(group, words, found)
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
-        return pa.table({"src": pa.array(a), "dst": pa.array(b)})
+        a, b, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        return pa.table({"src": pa.array(a), "dst": pa.array(b), "dense": pa.array(d)})
+
+    return _buckets(fps, n, words, tables, size).groupBy("shard").applyInArrow(run, "src bigint, dst bigint, dense boolean")
+
 
-    return _buckets(fps, n, words, tables, size).groupBy("shard").applyInArrow(run, "src bigint, dst bigint")
+def similar_in_clusters(clusters: DataFrame, sets: DataFrame, percent: int, block: int = 1024, shingles: int = 4_000_000) -> DataFrame:
+    """(src, dst) links that span the similar texts of each cluster of clusters(node, component), compared exactly.
+
+    A cluster of more than `block` texts, or of more than so many shingles, is compared in pairs of blocks, each a group
+    of its own; a group counts shared shingles by products of 0-1 matrices and returns at most a link for each text.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        node = np.asarray(group.column("node"))
+        order = np.argsort(node, kind="stable")
+        node, lists = node[order], group.column("shingles").combine_chunks()
+        each = [np.asarray(lists[int(i)].values) for i in order]
+        n = np.array([len(x) for x in each])
+        row = np.repeat(np.arange(len(n)), n)
+        token, column, held_by = np.unique(np.concatenate(each) if each else np.empty(0, np.int64), return_inverse=True, return_counts=True)
+        real = held_by[column] > 1
+        row, column = row[real], (np.cumsum(held_by > 1) - 1)[column[real]]
+        by_column = np.argsort(column, kind="stable")
+        row, column = row[by_column], column[by_column]
+        shared = np.zeros((len(n), len(n)), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, 2048):
+            a, b = np.searchsorted(column, (at, at + 2048))
+            ones = np.zeros((len(n), 2048), np.float32)
+            ones[row[a:b], column[a:b] - at] = 1
+            shared += ones @ ones.T
+        like = (shared > 0) & (100 * shared >= percent * (n[:, None] + n[None, :] - shared))
+        sets_of = _Sets(len(n))
+        sets_of.join(*np.nonzero(np.triu(like, 1)))
+        moved = np.flatnonzero(sets_of.label != np.arange(len(n)))
+        return pa.table({"src": pa.array(node[moved]), "dst": pa.array(node[sets_of.label[moved]])})
+
+    rows = clusters.join(sets, "node").select("component", "node", "shingles")
+    sizes = rows.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("all"))
+    dealt = cut(sizes.select("component", F.ceil(F.greatest(F.col("m") / block, F.col("all") / shingles)).cast("int").alias("blocks")))
+    known = rows.join(dealt, "component").withColumn("own", F.pmod(F.xxhash64(F.lit(4), "node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = known.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "shingles")
+    return paired.groupBy("component", "lo", "hi").applyInArrow(run, "src bigint, dst bigint")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -404,15 +457,16 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((F.col("_n") > 0) & (100 * F.col("_n") >= percent * (F.size("_a") + F.size("_b") - F.col("_n")))).select("src", "dst")
 
 
-def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, radius: int = 34, words: int = 2, tables: int = 96, size: int = 12) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, radius: int = 34, words: int = 2, tables: int = 96, size: int = 12, dense: int = 64) -> DataFrame:
     """The rows of docs, in their own columns, of one document of each near-duplicate group: its smallest doc_id.
 
     Two texts are linked if their words are the same, or if they share at least `percent` of all their distinct shingles
     of five words; groups are the components of these links, and texts without words are linked to each other only.
     128-bit fingerprints choose the pairs that are compared: those within `radius` bits that agree on `size` sampled bits
     in one of the tables. At a similarity of 0.8 fingerprints differ in 19 bits with a deviation of 4, which these
-    bounds find in all but about 1 of 700 pairs. First each text is compared with the closest one before it, then all pairs that aren't in one
-    group yet, so that large groups of copies don't give all their pairs. Rows that repeat the kept doc_id with a text of
+    bounds find in all but about 1 of 700 pairs. First each text is compared with the closest one before it, then all
+    pairs that aren't in one group yet. Texts with `dense` or more others that close in one bucket don't give pairs: the
+    clusters that they make are compared exactly, block by block, and give spanning links. Rows that repeat the kept doc_id with a text of
     its group stay, and so do rows without a doc_id, which no rule can choose between.
     """
     signed = cut(_signed(docs, width, words))
@@ -424,8 +478,14 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, radiu
     sets = cut(shingle_sets(texts.dropDuplicates(["node"]), width))
     sure = cut(similar_pairs(closest.filter("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")), sets, percent))
     groups = connected_components(sure)
-    rest = distinct.join(closest.select("node"), "node").join(groups, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
-    more = similar_pairs(cut(open_candidates(cut(rest), n, radius, words, tables, size)), sets, percent)
+    # Group numbers of 63 bits, so that a dense node's mark fits; two groups share one only if they agree in all of them.
+    number = F.shiftright(F.coalesce("component", "node"), 1)
+    marked = F.shiftleft(number, 1) + (F.col("near") >= dense).cast("long")
+    rest = distinct.join(closest.select("node", "near"), "node").join(groups, "node", "left").select("fp", "node", marked.alias("label"))
+    open_pairs = cut(open_candidates(cut(rest), n, radius, words, tables, size))
+    more = similar_pairs(open_pairs.filter("not dense").select("src", "dst"), sets, percent)
+    clusters = connected_components(open_pairs.filter("dense"))
+    more = more.unionByName(similar_in_clusters(clusters, sets, percent))
     groups = connected_components(sure.unionByName(more))
     named = cut(distinct.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
     least = cut(named.groupBy("component").agg(F.min("rep").alias("kept")))

@@ -200,3 +200,21 @@ def test_components_of_stars_chains_and_pairs(spark, monkeypatch):
     label = plain_components(len(nodes), [(at[a], at[b]) for a, b in real])
     assert got == {x: nodes[label[at[x]]] for x in nodes}
     assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).collect() == []
+
+
+@pytest.mark.parametrize("options", [{"dense": 2}, {"dense": 8}])
+def test_stage_compares_dense_clusters_exactly(spark, options, monkeypatch):
+    """Variants of one text with many pairs refused and some similar, in clusters of several blocks, against brute force."""
+    monkeypatch.setattr(simhash.similar_in_clusters, "__defaults__", (40, 3000))
+    rng = random.Random(15)
+    base, edits = [f"b{k}" for k in range(150)], [(k, f"e{k}") for k in range(3, 150, 7)]
+    texts = []
+    for _ in range(220):
+        own = list(base)
+        for k, w in rng.sample(edits, rng.randint(1, 6)):
+            own[k] = w
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts + similar_texts(rng, 20, 150, 0.85)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.keep_one_per_group(docs, **options).collect()}
+    assert kept == brute_force_kept(rows) and 20 < len(rows) - len(kept) < 240
