@@ -364,8 +364,8 @@ def closest_candidates(fps: DataFrame, n: int, radius: int, words: int, tables:
 def open_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int, size: int) -> DataFrame:
     """(src, dst, dense) of all pairs within radius that share a bucket and have different labels, each from its first table.
 
-    A label is twice a group's number, and one more for a dense node. Pairs of dense nodes don't come: a bucket gives
-    links that span them instead, marked dense, at most one for each node.
+    A label is twice the number of a node's group, or for a dense node twice that of its cluster and one more. Pairs of
+    dense nodes don't come: a bucket gives links that span them instead, marked dense, at most one for each node.
     """
     positions = sampled_bits(64 * words, tables, size)
 
@@ -373,9 +373,8 @@ def open_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int
         out, t = [], int(group.column("t")[0].as_py())
 
         def found(fp, node, label, rows, differ):
-            # A label's lowest bit says whether its node is dense.
-            dense, group_of = (label & 1).astype(bool), label >> 1
-            i, j = np.nonzero((differ <= radius) & (group_of[rows][:, None] != group_of[None, :]) & (np.arange(len(node))[None, :] < rows[:, None]))
+            dense = (label & 1).astype(bool)
+            i, j = np.nonzero((differ <= radius) & (label[rows][:, None] != label[None, :]) & (np.arange(len(node))[None, :] < rows[:, None]))
             both = dense[rows[i]] & dense[j]
             if both.any():
                 sets = _Sets(len(node))
@@ -478,13 +477,15 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, radiu
     sets = cut(shingle_sets(texts.dropDuplicates(["node"]), width))
     sure = cut(similar_pairs(closest.filter("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")), sets, percent))
     groups = connected_components(sure)
-    # Group numbers of 63 bits, so that a dense node's mark fits; two groups share one only if they agree in all of them.
-    number = F.shiftright(F.coalesce("component", "node"), 1)
-    marked = F.shiftleft(number, 1) + (F.col("near") >= dense).cast("long")
-    rest = distinct.join(closest.select("node", "near"), "node").join(groups, "node", "left").select("fp", "node", marked.alias("label"))
+    # Dense texts are first put into clusters by the closest one before each; what the clusters hold is compared exactly.
+    thick = cut(closest.filter(F.col("near") >= dense).select("node", "other"))
+    near_links = cut(thick.join(thick.select(F.col("node").alias("other")), "other").select(F.col("node").alias("src"), F.col("other").alias("dst")))
+    first = connected_components(near_links).withColumnRenamed("component", "cluster")
+    label = F.when(F.col("near") >= dense, F.shiftleft(F.coalesce("cluster", "node"), 1) + 1).otherwise(F.shiftleft(F.coalesce("component", "node"), 1))
+    rest = distinct.join(closest.select("node", "near"), "node").join(groups, "node", "left").join(first, "node", "left").select("fp", "node", label.alias("label"))
     open_pairs = cut(open_candidates(cut(rest), n, radius, words, tables, size))
     more = similar_pairs(open_pairs.filter("not dense").select("src", "dst"), sets, percent)
-    clusters = connected_components(open_pairs.filter("dense"))
+    clusters = connected_components(near_links.unionByName(open_pairs.filter("dense").select("src", "dst")))
     more = more.unionByName(similar_in_clusters(clusters, sets, percent))
     groups = connected_components(sure.unionByName(more))
     named = cut(distinct.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
