@@ -16,10 +16,16 @@ TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 4, 7: 8, 8: 8, 14: 4, 15: 8, 16:
 PRIMARY = 0x20
 
 
+def file_of(rows: DataFrame) -> list[str]:
+    """The column that tells the rows' files apart, where there is one: every key of the catalog begins with it."""
+    return [c for c in ("path",) if c in rows.columns]
+
+
 def attach(rows: DataFrame, group: str = "ObjidTable") -> DataFrame:
-    """Every column, index and long-value row with table_name, the name of the table row of its group."""
-    names = rows.filter(F.col("Type") == TABLE).groupBy(F.col(group).alias("_g")).agg(F.max_by("Name", "Id").alias("table_name"))
-    return rows.filter(F.col("Type") != TABLE).join(names, F.col(group) == F.col("_g")).drop("_g")
+    """Every column, index and long-value row with table_name, the name of the table row of its group (in its file)."""
+    keys = [*file_of(rows), group]
+    names = rows.filter(F.col("Type") == TABLE).groupBy(*keys).agg(F.max_by("Name", "Id").alias("table_name"))
+    return rows.filter(F.col("Type") != TABLE).join(names, keys)
 
 
 def fold(rows: DataFrame, order: str, kind: str, name: str, within: str) -> DataFrame:
@@ -33,7 +39,7 @@ def lookup(numbers: dict[int, object], code: str):
 
 
 def columns(rows: DataFrame) -> DataFrame:
-    """table_name, id, name, type, storage, size, offset, code page and default of every column row.
+    """path (if rows have one), table_name, id, name, type, storage, size, offset, code page and default of every column row.
 
     A fixed column's offset is the sum of the sizes of the fixed columns before it; a size in SpaceUsage counts more
     than its type's. An empty default is none.
@@ -41,8 +47,9 @@ def columns(rows: DataFrame) -> DataFrame:
     own = attach(rows).filter(F.col("Type") == COLUMN)
     storage = F.when(F.col("Id") <= FIXED_UP_TO, "fixed").when(F.col("Id") <= VARIABLE_UP_TO, "variable").otherwise("tagged")
     size = F.when(F.coalesce("SpaceUsage", F.lit(0)) != 0, F.col("SpaceUsage")).otherwise(lookup(TYPE_SIZES, "ColtypOrPgnoFDP"))
-    w = Window.partitionBy("ObjidTable", F.col("Id") <= FIXED_UP_TO).orderBy("Id").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*file_of(rows), "ObjidTable", F.col("Id") <= FIXED_UP_TO).orderBy("Id").rowsBetween(Window.unboundedPreceding, -1)
     return own.withColumn("size", size).select(
+        *file_of(rows),
         "table_name",
         F.col("Id").alias("id"),
         F.col("Name").alias("name"),
@@ -57,7 +64,7 @@ def columns(rows: DataFrame) -> DataFrame:
 
 
 def indexes(rows: DataFrame) -> DataFrame:
-    """table_name, position, index_name, root page, is_primary and the key columns (ids and names) of every index row.
+    """path (if rows have one), table_name, position, index_name, root page, is_primary and the key columns (ids and names) of every index row.
 
     KeyFldIDs repeats (u16 flags, u16 column id); a length that isn't a multiple of 4 gives no columns.
     """
@@ -70,14 +77,15 @@ def indexes(rows: DataFrame) -> DataFrame:
 
     n = F.coalesce(F.octet_length("KeyFldIDs"), F.lit(0))
     ids = F.when((n > 0) & (n % 4 == 0), F.transform(F.sequence(F.lit(0), (n / 4).cast("int") - 1), column_id)).otherwise(F.array().cast("array<int>"))
-    known = columns(rows).select(F.col("table_name").alias("t"), F.col("id").alias("c"), F.col("name").alias("column_name"))
-    flat = own.withColumn("position", F.row_number().over(Window.partitionBy("ObjidTable").orderBy("Id"))).withColumn("ids", ids)
-    named = flat.select("table_name", "Id", F.posexplode("ids").alias("k", "column_id")).join(known, (F.col("table_name") == F.col("t")) & (F.col("column_id") == F.col("c")))
-    keys = named.groupBy("table_name", "Id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "column_name"))), lambda x: x.column_name).alias("columns"))
+    table = [*file_of(rows), "table_name"]
+    known = columns(rows).select(*table, F.col("id").alias("column_id"), F.col("name").alias("column_name"))
+    flat = own.withColumn("position", F.row_number().over(Window.partitionBy(*file_of(rows), "ObjidTable").orderBy("Id"))).withColumn("ids", ids)
+    named = flat.select(*table, "Id", F.posexplode("ids").alias("k", "column_id")).join(known, [*table, "column_id"])
+    keys = named.groupBy(*table, "Id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "column_name"))), lambda x: x.column_name).alias("columns"))
     flags = F.col("Flags").bitwiseAND(F.lit(PRIMARY)) != 0
-    return flat.join(keys, ["table_name", "Id"], "left").select("table_name", "position", F.col("Name").alias("index_name"), F.col("ColtypOrPgnoFDP").alias("root_page"), flags.alias("is_primary"), F.col("ids").alias("column_ids"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
+    return flat.join(keys, [*table, "Id"], "left").select(*table, "position", F.col("Name").alias("index_name"), F.col("ColtypOrPgnoFDP").alias("root_page"), flags.alias("is_primary"), F.col("ids").alias("column_ids"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
 
 
 def primary_index(found: DataFrame) -> DataFrame:
     """The first primary index of each table of indexes()."""
-    return found.filter("is_primary").groupBy("table_name").agg(F.min_by("index_name", "position").alias("index_name"))
+    return found.filter("is_primary").groupBy(*file_of(found), "table_name").agg(F.min_by("index_name", "position").alias("index_name"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pagemill.errors import InvalidDatabase
 from pagemill.functions import values as V
+from pagemill.operators import longvalues
 from pagemill.sources.shared import cut
 
 #: Fixed values of the format: the header's magic, the catalog's root, page flags and tag flags.
@@ -138,7 +139,7 @@ def nodes(headed: DataFrame) -> DataFrame:
     return cut(decoded)
 
 
-def leaf_nodes(found: DataFrame, roots: DataFrame, most_levels: int = 16) -> DataFrame:
+def leaf_nodes(found: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, root, key, data, ...) of every leaf node below each root of roots(path, root).
 
     One join of page numbers per level of the tree; pages that were visited don't come again, so damaged files end.
@@ -147,7 +148,7 @@ def leaf_nodes(found: DataFrame, roots: DataFrame, most_levels: int = 16) -> Dat
     front = roots.select("path", "root", F.col("root").cast("long").alias("page"))
     seen = cut(front)
     front = seen
-    for _ in range(most_levels):
+    while True:
         below = front.join(links, (front.path == links.path) & (front.page == links.parent)).select(front.path, "root", F.col("child").alias("page"))
         front = cut(below.distinct().join(seen, ["path", "root", "page"], "left_anti"))
         if front.isEmpty():
@@ -186,9 +187,11 @@ def fields(rows: DataFrame, layout: Iterable[tuple[int, str, int | None, int | N
     return held.withColumns({n: F.col(f"_f{i}") for i, n in enumerate(out)}).drop("_fixed", "_variable", "_end", *[f"_f{i}" for i in range(len(out))])
 
 
-def tagged_fields(rows: DataFrame) -> DataFrame:
+def tagged_fields(rows: DataFrame, nulls: bool = False) -> DataFrame:
     """rows with (column_id, field_flags, raw) for each tagged field that isn't null, multi-values still packed.
 
+    With nulls, fields that are null come too, with a null raw.
+
     Offsets are relative to the tagged area; a field ends where the next begins. On small pages bit 0x4000 of the
     offset word announces a flags byte and 0x2000 a null; on large pages the byte is always there.
     """
@@ -210,7 +213,8 @@ def tagged_fields(rows: DataFrame) -> DataFrame:
     each = hold(each, field_flags=F.when(extra, u(d, F.col("_area") + F.col("_from"), 1)).otherwise(0).cast("int"))
     null = F.when(small, has(F.col("_w"), 0x2000)).otherwise(has(F.col("field_flags"), 0x20))
     start = F.col("_from") + F.when(extra, 1).otherwise(0)
-    kept = each.filter(~null).withColumn("raw", cut_bytes(d, F.col("_area") + start, F.col("_to") - start))
+    value = cut_bytes(d, F.col("_area") + start, F.col("_to") - start)
+    kept = each.withColumn("raw", F.when(~null, value)) if nulls else each.filter(~null).withColumn("raw", value)
     return kept.drop("_v", "_e", "_area", "_n", "_i", "_w", "_to", "_from")
 
 
@@ -258,20 +262,88 @@ def catalog(found: DataFrame) -> DataFrame:
     return stored.select("path", "key", *[typed(F.col(name), code, 1252).alias(name) for _, name, code in CATALOG])
 
 
-def read_table(found: DataFrame, rows: DataFrame, table: str) -> DataFrame:
-    """A table's records with its fixed and variable columns typed, from nodes() and catalog().
+def long_values(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, root, lid, value) of the values in the long-value trees at roots(path, root), lid as the records hold it.
 
-    The table's layout is metadata: it comes to the driver, one row per column. Columns beyond a record's last take
-    their default; tagged columns are had from tagged_fields(). An unknown name raises KeyError.
+    A node whose key without its last four bytes, the offset, is a key itself is a chunk of the value of that key, whose
+    node holds the value's size; a chunk shorter or longer than its span is compressed.
+    """
+    leaves = leaf_nodes(found, roots).filter("not is_deleted").select("path", "root", "key", "data")
+    n = F.octet_length("key")
+    nodes = leaves.withColumns({"lid": F.substring("key", F.lit(1), F.greatest(n - 4, F.lit(0))), "offset": F.conv(F.hex(F.substring("key", F.greatest(n - 3, F.lit(1)), F.lit(4))), 16, 10).cast("long")})
+    names = leaves.select("path", "root", F.col("key").alias("lid"), u(F.col("data"), 4, 4).alias("size"))
+    chunks = nodes.join(names, ["path", "root", "lid"]).withColumn("value", F.struct("path", "root", "lid"))
+    spanned = chunks.select("value", F.col("offset").alias("chunk_offset"), "data", longvalues.expected_span("value", "offset", "size").alias("span"))
+    whole = F.octet_length("data") == F.col("span")
+    plain = spanned.select("value", "chunk_offset", F.when(whole, F.col("data")).otherwise(V.decompress(F.when(~whole, F.col("data")))).alias("chunk"))
+    found_values = longvalues.assemble(plain.withColumnRenamed("value", "of"), "of").select("of.*", "value")
+    return found_values.withColumn("lid", F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex("lid"), F.lit("(..)"))), "")))
+
+
+def tagged_values(leaves: DataFrame, trees: DataFrame | None) -> DataFrame:
+    """(path, pgno, node_no, column_id, place, value) of each value of each tagged field, resolved and decompressed.
+
+    trees: long_values() of the table, if it has any. Of a pair of values only the first can be compressed; of more, one
+    is separated if its offset is marked. A field that is null comes once, with a null value.
+    """
+    each = tagged_fields(leaves, nulls=True).select("path", "pgno", "node_no", "column_id", "field_flags", "raw")
+    each = hold(each, _all=F.when(F.col("raw").isNotNull(), multi_values(F.col("raw"), F.col("field_flags"))))
+    flat = each.select("path", "pgno", "node_no", "column_id", "field_flags", "raw", F.posexplode_outer("_all").alias("place", "value")).fillna(0, ["place"])
+    flags = F.col("field_flags")
+    marked = has(u(F.col("raw"), 2 * F.col("place"), 2), 0x8000)
+    separated = F.when(has(flags, 0x10), False).when(has(flags, 0x08), marked).otherwise(has(flags, 0x04))
+    squeezed = has(flags, 0x02) & ~separated & (~has(flags, 0x18) | (F.col("place") == 0))
+    flat = flat.withColumns({"_far": F.coalesce(separated, F.lit(False)), "_squeezed": F.coalesce(squeezed, F.lit(False))})
+    here = F.when(F.col("_squeezed"), V.decompress(F.when(F.col("_squeezed"), F.col("value")))).when(~F.col("_far"), F.col("value"))
+    if trees is None:
+        return flat.select("path", "pgno", "node_no", "column_id", "place", here.alias("value"))
+    far = trees.select(F.col("path").alias("_path"), F.col("lid").alias("_lid"), F.col("value").alias("_long"))
+    joined = flat.join(far, F.col("_far") & (F.col("path") == F.col("_path")) & (F.col("value") == F.col("_lid")), "left")
+    return joined.select("path", "pgno", "node_no", "column_id", "place", F.when(F.col("_far"), F.col("_long")).otherwise(here).alias("value"))
+
+
+def read_table(found: DataFrame, rows: DataFrame, table: str, multi: Iterable[str] = ()) -> DataFrame:
+    """A table's records with all columns typed, from nodes() and catalog(): fixed, variable, tagged and long ones.
+
+    Columns beyond a record's last, and tagged ones that it doesn't hold, take their default. A tagged column gives its
+    first value, one named in multi an array of all. The layout is metadata: it comes to the driver, one row per column;
+    files whose layouts of the table differ raise ValueError. An unknown name raises KeyError.
     """
     from pagemill.operators import catalog as C
 
-    root = rows.filter((F.col("Type") == C.TABLE) & (F.col("Name") == table)).select("path", F.col("ColtypOrPgnoFDP").alias("root"))
-    if root.isEmpty():
+    own = rows.filter((F.col("Type") == C.TABLE) & (F.col("Name") == table))
+    roots = cut(own.select("path", F.col("ColtypOrPgnoFDP").alias("root"), "ObjidTable"))
+    if roots.isEmpty():
         raise KeyError(table)
-    layout = C.columns(rows).filter((F.col("table_name") == table) & (F.col("storage") != "tagged")).orderBy("id").collect()
-    defaults = {c.name: c.default_value for c in layout if c.default_value}
-    stored = fields(leaf_nodes(found, root), [(c.id, c.name, c.offset, c["size"]) for c in layout], defaults)
-    return stored.select("path", "key", *[typed(F.col(f"`{c.name}`"), c.type_code, c.code_page).alias(c.name) for c in layout])
-
-
+    layouts: dict[str, list] = {}
+    for c in C.columns(rows).filter(F.col("table_name") == table).orderBy("id").collect():
+        layouts.setdefault(c.path, []).append(c)
+    layout, *others = layouts.values() or [[]]
+    if any([c[1:] for c in x] != [c[1:] for c in layout] for x in others):
+        raise ValueError(f"files differ in the layout of {table}")
+    near, far = [c for c in layout if c.storage != "tagged"], [c for c in layout if c.storage == "tagged"]
+    defaults = {c.name: c.default_value for c in near if c.default_value}
+    leaves = leaf_nodes(found, roots.select("path", "root"))
+    out = fields(leaves, [(c.id, c.name, c.offset, c["size"]) for c in near], defaults)
+    kept = [typed(F.col(f"`{c.name}`"), c.type_code, c.code_page).alias(c.name) for c in near]
+    if not far:
+        return out.select("path", "key", *kept)
+    long_roots = rows.filter(F.col("Type") == C.LONG_VALUE).join(roots.select("path", "ObjidTable"), ["path", "ObjidTable"], "left_semi").select("path", F.col("ColtypOrPgnoFDP").alias("root"))
+    values = tagged_values(leaves, None if long_roots.isEmpty() else long_values(found, long_roots))
+    kinds = {(c.type_code, c.code_page if c.type_code in (10, 12) else None) for c in far}
+    name = lambda code, page: f"_t{code}_{page}"
+    values = cut(values.withColumns({name(*k): typed(F.col("value"), *k) for k in kinds}))
+    whole = []
+    for i, c in enumerate(far):
+        t = F.col(name(c.type_code, c.code_page if c.type_code in (10, 12) else None))
+        mine = F.col("column_id") == c.id
+        listed = F.sort_array(F.collect_list(F.when(mine & F.col("value").isNotNull(), F.struct("place", t.alias("v")))))
+        whole += [F.transform(listed, lambda x: x.v).alias(f"_v{i}"), F.max(F.when(mine, 1)).alias(f"_h{i}")]
+    record = ["path", "pgno", "node_no"]
+    joined = out.join(values.groupBy(*record).agg(*whole), record, "left")
+    for i, c in enumerate(far):
+        default = F.array(typed(F.unhex(F.lit(bytes(c.default_value).hex())), c.type_code, c.code_page)) if c.default_value else None
+        every = F.when(F.col(f"_h{i}") == 1, F.when(F.size(f"_v{i}") > 0, F.col(f"_v{i}")))
+        every = every.otherwise(default) if default is not None else every
+        kept.append((every if c.name in multi else F.get(every, F.lit(0))).alias(c.name))
+    return joined.select("path", "key", *kept)

@@ -118,3 +118,37 @@ def test_read_table_uses_the_catalogs_defaults(spark, tmp_path):
     nodes = ese.nodes(ese.page_headers(ese.pages(ese.read_files(spark, str(tmp_path / "d.edb")))))
     got = ese.read_table(nodes, ese.catalog(nodes), "T").orderBy("key").select("Id", "Score", "Name").collect()
     assert [tuple(r) for r in got] == [(1, 2.5, "none"), (2, 0.5, None)]
+
+
+def test_read_table_over_two_files_with_long_values(spark, tmp_path):
+    """Tagged, compressed, separated and multi-valued columns and their defaults, of two files whose tables share a number."""
+    size = 4096
+    lid = struct.pack("<I", 0x0102)
+    for n in (1, 2):
+        rows = [catalog_row(2, 1, 2, 5, "T"), catalog_row(2, 2, 1, 4, "Id"), catalog_row(2, 2, 2, 3, "Part"), catalog_row(2, 2, 256, 12, "Note", page=1252, default=b"none"), catalog_row(2, 2, 257, 17, "Many")]
+        rows += [catalog_row(2, 2, 258, 11, "Long"), catalog_row(2, 4, 1, 6, "LV"), catalog_row(3, 1, 3, 7, "Other"), catalog_row(3, 2, 1, 4, "Id")]
+        fixed = lambda i: [struct.pack("<i", 10 * n + i), struct.pack("<h", -i)]  # noqa: B023, E731
+        pair = bytes([2]) + struct.pack("<HH", 7, 65535)
+        people = [
+            record(fixed(1), [], tagged([(256, 1, f"note {n}".encode()), (257, 0x10, pair), (258, 5, lid)], True)),
+            record(fixed(2), [], tagged([(257, None, struct.pack("<H", 9)), (258, 3, bytes([0x0F]) + _seven(b"squeezed"))], True)),
+            record(fixed(3), []),
+        ]
+        text = b"a" * 40 + str(n).encode()
+        long = [(lid[::-1], struct.pack("<II", 1, len(text)), 0, False), (lid[::-1] + struct.pack(">I", 0), text[:30], 0, False), (lid[::-1] + struct.pack(">I", 30), text[30:], 0, False)]
+        raw = header(size) * 2 + page(size, 0, []) * 3 + page(size, ROOT | LEAF | NEW, [(bytes([i + 1]), r, 0, False) for i, r in enumerate(rows)])
+        raw += page(size, ROOT | LEAF | NEW, [(bytes([i + 1]), r, 0, False) for i, r in enumerate(people)]) + page(size, ROOT | LEAF | NEW, long) + page(size, ROOT | LEAF | NEW, [])
+        (tmp_path / f"f{n}.edb").write_bytes(raw)
+    nodes = ese.nodes(ese.page_headers(ese.pages(ese.read_files(spark, str(tmp_path / "*.edb")))))
+    rows = ese.catalog(nodes)
+    assert sorted((r.table_name, r.name, r.offset) for r in C.columns(rows).collect() if r.storage == "fixed") == sorted([("T", "Id", 0), ("T", "Part", 4), ("Other", "Id", 0)] * 2)
+    got = ese.read_table(nodes, rows, "T", multi=["Many"]).orderBy("Id").collect()
+    assert [(r.Id, r.Part, r.Note, r.Many, r.Long and bytes(r.Long)) for r in got] == [
+        row for n in (1, 2) for row in ((10 * n + 1, -1, f"note {n}", [7, 65535], b"a" * 40 + str(n).encode()), (10 * n + 2, -2, "none", [9], b"squeezed"), (10 * n + 3, -3, "none", None, None))
+    ]
+
+
+def _seven(text):
+    """Seven bits a character, lowest first; the first byte's low bits hold the bits used of the last byte, less one."""
+    bits = sum(b << (7 * i) for i, b in enumerate(text))
+    return bits.to_bytes(-(-7 * len(text) // 8), "little")
