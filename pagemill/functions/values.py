@@ -15,6 +15,14 @@ CODE_PAGES = {1200: "utf-16-le", 1252: "cp1252", 20127: "ascii"}
 EPOCH_TICKS = 116_444_736_000_000_000
 
 
+@F.pandas_udf(DoubleType())
+def bits_to_double(bits: pd.Series) -> pd.Series:
+    """A signed long's 64 bits as a double, as date-times are stored; null stays null."""
+    known = bits.notna()
+    out = pd.Series(bits.fillna(0).to_numpy("int64").view("float64"), index=bits.index, dtype="Float64")
+    return out.where(known)
+
+
 def oa_date(days: Column) -> Column:
     """Days since 1899-12-30 as a timestamp without zone, to the microsecond."""
     return F.expr("timestamp_ntz'1899-12-30 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.round(days * 86400 * 1e6) / 1e6).cast("decimal(20,6)"))

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from pagemill.functions import keys, values
 from pagemill.operators import catalog, longvalues
@@ -388,14 +385,9 @@ def compat_hex(t):
     return t("part").select("p_partkey", F.lower(F.hex(F.col("p_name").cast("binary"))).alias("stored"))
 
 
-@F.pandas_udf(DoubleType())
-def _bits_to_double(bits: pd.Series) -> pd.Series:
-    return pd.Series(bits.to_numpy(np.int64).view(np.float64))
-
-
 @_query("double_bits_round_trip", "SELECT c_custkey, c_acctbal FROM customer")
 def double_bits_round_trip(t):
-    return t("customer").select("c_custkey", _bits_to_double(keys.double_bits(F.col("c_acctbal"))).alias("c_acctbal"))
+    return t("customer").select("c_custkey", values.bits_to_double(keys.double_bits(F.col("c_acctbal"))).alias("c_acctbal"))
 
 
 # Profiles

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.values import not_sentinel, oa_date, sid_text, utf16_text, windows_time
+from pagemill.functions.values import bits_to_double, not_sentinel, oa_date, sid_text, utf16_text, windows_time
 
 #: providers' aliases and GUIDs, system tables, time columns, and the fill of unset time-line values.
 PROVIDERS = {
@@ -44,8 +44,10 @@ def provider_guid(name: str | None = None, guid: str | None = None) -> str:
     return PROVIDERS[name]
 
 
-def id_map(rows: DataFrame, order: str = "IdIndex") -> DataFrame:
-    """IdIndex and id_text of the id table; the last row of an index in `order` counts. An empty blob is null.
+def id_map(rows: DataFrame, order: str) -> DataFrame:
+    """IdIndex and id_text of the id table; the last row of an index in `order` counts (`key` for rows of read_table()).
+
+    An empty blob is null.
 
     Types 0, 1 and 2 are UTF-16 text, others security identifiers.
     """
@@ -67,21 +69,27 @@ def unresolved(entries: DataFrame, ids: DataFrame, column: str, key: str = "IdIn
     return entries.filter(F.col(column).isNotNull()).join(ids, F.col(column) == F.col(key), "left_anti")
 
 
-def timed(entries: DataFrame, guid: str, bits: Column | None = None) -> DataFrame:
+def timed(entries: DataFrame, guid: str) -> DataFrame:
     """A provider's entries with typed times: sentinels become null first, then TimeStamp and ticks are converted."""
     out = entries
     for c, kind in entries.dtypes:
-        if kind in ("bigint", "int") and guid == PROVIDERS["application_timeline"]:
+        if kind in ("bigint", "int") and c != "TimeStamp" and guid == PROVIDERS["application_timeline"]:
             out = out.withColumn(c, not_sentinel(F.col(c), *SENTINELS))
     for c in WINDOWS_TIMES.get(guid, ()):
         if c in out.columns:
             out = out.withColumn(c, windows_time(F.col(c)))
-    if "TimeStamp" in out.columns and dict(out.dtypes)["TimeStamp"] == "double":
-        out = out.withColumn("TimeStamp", oa_date(F.col("TimeStamp")))
+    kind = dict(out.dtypes).get("TimeStamp")
+    if kind in ("double", "bigint"):  # days, or the stored bits of them
+        out = out.withColumn("TimeStamp", oa_date(F.col("TimeStamp") if kind == "double" else bits_to_double(F.col("TimeStamp"))))
     return out
 
 
 def entries(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All rows of all tables that aren't the system's, with their provider; missing columns are null."""
+    """All rows of all tables that aren't the system's, with their provider; missing columns are null.
+
+    Without such a table there is no schema to give, which is a ValueError.
+    """
     own = [df.withColumn("provider", F.lit(name)) for name, df in tables.items() if name not in SYSTEM_TABLES]
+    if not own:
+        raise ValueError("no table of a provider")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)

@@ -43,3 +43,20 @@ def test_activity_counts_every_event(spark, duck):
     """The day columns reach over the whole year: no event of a day after the 20th is left out."""
     df = catalogue.queries()["ual_activity_year"](spark, str(DATA))
     assert sum(r["count"] for r in df.collect()) == duck.execute("SELECT count(ts) FROM events").fetchone()[0]
+
+
+def test_srum_times_from_stored_bits(spark):
+    """A TimeStamp read from a file holds the bits of a double; nulls stay null, and the last id row in order counts."""
+    import datetime
+    import struct
+
+    from pagemill.plans import srum
+
+    bits = struct.unpack("<q", struct.pack("<d", 36220.25))[0]
+    rows = spark.createDataFrame([(1, bits), (2, None)], "i int, TimeStamp bigint")
+    got = {r.i: r.TimeStamp for r in srum.timed(rows, srum.PROVIDERS["network_data"]).collect()}
+    assert got == {1: datetime.datetime(1999, 3, 1, 6), 2: None}
+    ids = spark.createDataFrame([(7, 0, "old".encode("utf-16-le"), 1), (7, 0, "new".encode("utf-16-le"), 2)], "IdIndex int, IdType int, IdBlob binary, key int")
+    assert srum.id_map(ids, "key").first().id_text == "new"
+    with pytest.raises(ValueError):
+        srum.entries({"MSysObjects": ids})
