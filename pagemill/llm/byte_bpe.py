@@ -79,7 +79,7 @@ class Codec:
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
         self.vocabulary = [bytes_of(self.model.id_to_piece(i)) for i in range(len(self.ranks))]
-        self.encode = ChunkEncoder(self._piecewise)
+        self.encode = ChunkEncoder(self._piecewise, "<u4")
 
     def _piecewise(self, text: str) -> bytes:
         out = []
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids = [own.encode(t.as_py() or "") for t in part.column(part.num_columns - 1)]
+                ids = list(own.encode.column(part.column(part.num_columns - 1)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*keep, "ids"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids binary"
@@ -130,7 +130,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids = [own.encode(t.as_py() or "") for t in part.column(part.num_columns - 1)]
+                ids = list(own.encode.column(part.column(part.num_columns - 1)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([sha(own.decode(x)).hexdigest() for x in ids], pa.string())], [*keep, "ids", "decoded_sha256"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids binary, decoded_sha256 string"

@@ -7,15 +7,23 @@ line breaks before every line break too. Pieces repeat far more often than texts
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import string
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: A worker keeps pieces of about so many bytes in each of two generations, and no piece longer than so many characters.
 KEPT_BYTES, KEPT_CHARS = 128 << 20, 200
+#: bytes of texts whose pieces are looked up together
+SLICE = 16 << 20
 _ENTRY = 200  # bytes of a kept piece beside its characters and ids
-#: Marks before which every pattern cuts if a letter or digit of ASCII stands before them.
-_MARKS = ",.;:!?"
+#: Marks before which every pattern cuts if a letter or digit of ASCII, or a letter from U+00C0 to U+00FF, stands before them.
+_IS_MARK = np.isin(np.arange(256), [ord(c) for c in string.punctuation if c != "'"])
+_IS_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_STEP = 1 << 18  # pieces whose ids are put in place together
 
 
 def byte_names() -> dict[int, str]:
@@ -36,37 +44,99 @@ class _Kept(dict):
             found = self.old[piece]
         elif not piece or piece[-1].isspace():
             found = None if piece else b""
-        elif piece[-1] in _MARKS and (core := piece.rstrip(_MARKS)) and core[-1].isascii() and core[-1].isalnum():
-            found = self[core] + self[piece[len(core) :]]
         else:
             found = self.encode(piece)
+        self.keep(piece, found)
+        return found
+
+    def keep(self, piece: str, found: bytes | None) -> None:
         if len(piece) <= KEPT_CHARS:
             self.size += len(piece) + _ENTRY
             if self.size > KEPT_BYTES:
                 self.old, self.size = dict(self), 0
                 self.clear()
             self[piece] = found
-        return found
+
+    def find(self, pieces: list[str], together: Callable[[list[str]], dict[str, bytes]]) -> list[bytes | None]:
+        """As a lookup of each piece; `together` may know the ids of some of those that are new."""
+        new = together([p for p in pieces if p not in self and p not in self.old])
+        for piece, found in new.items():
+            self.keep(piece, found)
+        return [found if (found := new.get(p)) is not None else self[p] for p in pieces] if new else [self[p] for p in pieces]
+
+
+def _strings(pieces: pa.StringArray) -> list[str]:
+    """The array's strings, cut out of its decoded buffer."""
+    ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    text, ends = data.tobytes().decode(), characters.take(ends - ends[0]).tolist()
+    return [text[b:e] for b, e in zip(ends, ends[1:])]
 
 
 class ChunkEncoder:
-    """Encodes whole texts piece by piece; `encode` gives a string's ids as bytes of fixed width.
+    """Encodes whole texts piece by piece; `encode` gives a string's ids as bytes, `kind` is the ids' NumPy type.
 
     cuts: the characters before which the pattern cuts, of " " and "\\n"; without any, texts are encoded whole. Texts that
-    hold a string in `whole` are encoded whole too.
+    hold a string in `whole` are encoded whole too. `together` gives the ids of those of many pieces that it can take.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], cuts: str = " ", whole: tuple[str, ...] = ()):
-        self.encode, self.cuts, self.whole, self.kept = encode, cuts, ("\0", *whole), _Kept(encode)
+    def __init__(self, encode: Callable[[str], bytes], kind: str, cuts: str = " ", whole: tuple[str, ...] = (), together: Callable[[list[str]], dict[str, bytes]] = lambda _: {}):
+        self.encode, self.kind, self.cuts, self.whole, self.kept, self.together = encode, np.dtype(kind), cuts, whole, _Kept(encode), together
         self.cut = regex.compile(rf"(?<=\S)(?=[{cuts}])") if cuts else None
 
     def __call__(self, text: str) -> bytes:
-        if not self.cuts or any(w in text for w in self.whole):
-            return self.encode(text)
-        marked = text
+        return next(self.column(pa.array([text])))
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids; a null has none. Texts are taken in groups of SLICE bytes, a longer one alone."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not self.cuts:
+            yield from (self.encode(t.as_py()) for t in texts)
+            return
+        ends = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else []
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
+            yield from self._group(texts.slice(at, to - at), ends[at : to + 1])
+            at = to
+
+    def _group(self, texts: pa.Array, ends: np.ndarray) -> Iterator[bytes]:
+        """As column(), for texts that end at `ends` of their buffer: each different piece is looked up once."""
+        if ends[0] == ends[-1]:
+            yield from [b""] * len(texts)
+            return
+        data, rows = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+        cut = np.zeros(len(data) + 1, bool)
         for c in self.cuts:
-            marked = marked.replace(c, "\0" + c)
-        try:
-            return b"".join(map(self.kept.__getitem__, marked.split("\0")))
-        except TypeError:  # a piece ends in white space: what follows is no sure cut
-            return b"".join(map(self.encode, self.cut.split(text)))
+            cut[:-1] |= data == ord(c)
+        mark = _IS_MARK.take(data)
+        cut[1:-1] |= mark[1:] & _IS_ALNUM.take(data[:-1])
+        cut[2:-1] |= mark[2:] & (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)  # but for two signs, letters
+        cut[rows] = True
+        cuts = np.flatnonzero(cut).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        which, found = pieces.indices.to_numpy(), self.kept.find(_strings(pieces.dictionary), self.together)
+        unsure = np.array([f is None for f in found])
+        found = [f or b"" for f in found]
+        size = np.array([len(f) for f in found], np.int32) // self.kind.itemsize
+        ids, start = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
+        after = np.concatenate([[0], np.cumsum(size.take(which))])
+        out = np.empty(after[-1], self.kind)
+        for b in range(0, len(which), _STEP):
+            part, to = which[b : b + _STEP], after[b : b + _STEP + 1]
+            out[to[0] : to[-1]] = ids.take(np.repeat(start.take(part) - to[:-1], np.diff(to)) + np.arange(to[0], to[-1]))
+        # A piece that ends in white space: what follows is no sure cut, and its text is cut by the pattern's rule.
+        first = np.searchsorted(cuts, rows)
+        doubts = np.concatenate([[0], np.cumsum(unsure.take(which))])[first]
+        apart, whole = (doubts[1:] > doubts[:-1]).tolist(), np.zeros(len(texts), bool)
+        for w in self.whole:
+            whole |= pc.match_substring(texts, w).to_numpy(zero_copy_only=False)
+        at = after[first].tolist()
+        for i, (b, e) in enumerate(zip(at, at[1:])):
+            if whole[i]:
+                yield self.encode(texts[i].as_py())
+            elif apart[i]:
+                yield b"".join(map(self.encode, self.cut.split(texts[i].as_py())))
+            else:
+                yield out[b:e].tobytes()

@@ -263,23 +263,40 @@ def library_encoder(path: str) -> tuple[ChunkEncoder, str]:
     """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         settings, (kind, code) = json.loads(tokenizer.to_str()), ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         before = settings["pre_tokenizer"] or {}
         known = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not settings["normalizer"]
 
-        model, names = tokenizer.model, byte_names()
+        # A space before Latin letters is one pre-token, a line break before them another one. Such pieces go to the
+        # library's model many at a time, by the characters that stand for their bytes; a piece's first token has its
+        # only space or line break.
+        words, names = Tokenizer(tokenizer.model), byte_names()
+        words.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        named = "".join(chr(b) if b in b" \n" else names[b] for b in range(256))
+        begins = np.zeros(tokenizer.get_vocab_size(), bool)
+        begins[[i for token, i in tokenizer.get_vocab().items() if token[0] in (names[32], names[10])]] = True
 
         def encode(text: str) -> bytes:
-            """A space before Latin letters is one pre-token, which goes to the library's model directly."""
-            if known and text[1:].isalpha() and text[0] == " " and (text.isascii() or max(text) < "\u0250"):
-                named = names[32] + (text[1:] if text.isascii() else text[1:].encode().decode("latin-1").translate(names))
-                return array(code, [t.id for t in model.tokenize(named)]).tobytes()
             return array(code, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-        _encoders[path] = ChunkEncoder(encode, " \n" if known else "", tuple(t["content"] for t in settings["added_tokens"])), kind
+        def together(pieces: list[str]) -> dict[str, bytes]:
+            found, plain = {}, [p for p in pieces if p[0] in " \n" and p[1:].isalpha() and (p.isascii() or max(p) < "\u0250")]
+            for at in range(0, len(plain), 8192):
+                part = plain[at : at + 8192]
+                text = "".join(part)
+                text = (text if text.isascii() else text.encode().decode("latin-1").translate(named)).replace(" ", " " + names[32]).replace("\n", f" {names[10]} ")
+                ids = np.array(words.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+                first = begins.take(ids).nonzero()[0]
+                if len(first) == len(part):
+                    raw, cuts = ids.tobytes(), [*(first * ids.itemsize).tolist(), ids.nbytes]
+                    found.update((p, raw[b:e]) for p, b, e in zip(part, cuts, cuts[1:]))
+            return found
+
+        added = tuple(t["content"] for t in settings["added_tokens"])
+        _encoders[path] = (ChunkEncoder(encode, kind, " \n", added, together) if known else ChunkEncoder(encode, kind, "")), kind
     return _encoders[path]
 
 
@@ -301,13 +318,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "n_tokens", "data"])
 
         for b in batches:
-            for d, ids in zip(b.column(0), (encode(t.as_py() or "") for t in b.column(1)), strict=True):
+            for d, ids in zip(b.column(0).to_pylist(), encode.column(b.column(1)), strict=True):
                 ids += last
                 n = len(ids) // len(last)
                 if held[0] and held_n + n > SEGMENT:
                     yield flush()
                     held, held_n, number = ([], []), 0, number + 1
-                held[0].append(d.as_py())
+                held[0].append(d)
                 held[1].append(ids)
                 held_n += n
         if held[0]:

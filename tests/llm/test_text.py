@@ -185,6 +185,31 @@ def test_pieces_equal_whole_texts():
         chunks.KEPT_BYTES = bound
 
 
+def test_op3_op5_columns_of_pieces():
+    """Texts taken in groups have the ids of texts taken alone: nulls, empty texts, slices, marks after letters, line breaks."""
+    import pyarrow as pa
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from pagemill.llm import chunks
+
+    path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own, (encoder, _) = Tokenizer.from_file(path), token_files.library_encoder(path)
+    codec = byte_bpe.codec(ranks, public_tokenizers.PATTERN)
+    other = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    texts = [None, "", "Élan. ×. ÷, ß! größer: naïve$$$ x_y (a)b x#1", "a\nWord\n\nÉté\n b\n", "a  b\tc", "", None, " x", "\ny", "it's, don't. l'été?", "hi <|endoftext|> there", "中文, 。. x"]
+    bound = chunks.SLICE
+    try:
+        for chunks.SLICE in (1, 40, bound):
+            column = pa.array(["before, ", *texts, "after"]).slice(1, len(texts))
+            for text, a, b in zip(texts, encoder.column(column), codec.encode.column(column), strict=True):
+                assert np.frombuffer(a, "<u2").tolist() == own.encode(text or "", add_special_tokens=False).ids
+                assert np.frombuffer(b, "<u4").tolist() == other.encode_ordinary(text or "")
+    finally:
+        chunks.SLICE = bound
+    assert list(encoder.column(pa.array([], pa.string()))) == []
+
+
 def plain_runs(lengths, window, least):
     """The lines over which no window is empty."""
     gone = {i + k for i in range(len(lengths) - window + 1) if sum(lengths[i : i + window]) <= least for k in range(window)}
