@@ -299,33 +299,106 @@ def _signed(docs: DataFrame, width: int, words: int) -> DataFrame:
 
 
 def sampled_bits(bits: int, tables: int, size: int, seed: int = 42) -> np.ndarray:
-    """(tables x size) positions of the bits that make each table's keys, without repetition inside a table."""
+    """(tables x size) positions of the bits that each tree measures, without repetition inside a tree."""
     rng = np.random.default_rng(seed)
     return np.stack([rng.permutation(bits)[:size] for _ in range(tables)])
 
 
-def _buckets(fps: DataFrame, n: int, words: int, tables: int, size: int) -> DataFrame:
-    """Each row of fps(fp, node, label) under its key in each table; a shard holds neighbouring keys of one table."""
-    positions = sampled_bits(64 * words, tables, size)
-    shift = size - min(size, max(0, (n // 4096).bit_length()))
-    weights = 1 << np.arange(size)
+class Forest:
+    """Vantage-point trees over sampled bits of fingerprints, grown and passed a level at a time for all rows at once.
+
+    A tree's distance is the number of differing bits among those at its row of `positions`. A query at distance d from a
+    node's vantage point visits the inner side only if d - near <= bound and the outer side only if d + near > bound, so
+    fingerprints within `near` bits there meet in a leaf. The drawn fingerprints decide only how evenly the leaves fill.
+    """
+
+    def __init__(self, drawn: np.ndarray, positions: np.ndarray, leaf: int, near: int = 0, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        self.positions, self.near = positions, near
+        self.trees = [self._grow(key, leaf, rng) for key in self._keys(drawn)] if len(drawn) else []
+
+    def _keys(self, fps: np.ndarray) -> Iterator[np.ndarray]:
+        bits, weights = _bits(fps), 2.0 ** np.arange(self.positions.shape[1])
+        return ((bits[:, chosen] @ weights).astype(np.uint32) for chosen in self.positions)
+
+    @staticmethod
+    def _grow(x: np.ndarray, leaf: int, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vantage point, bound, the inner and the outer child) of each node; a child is a node or -1 - a leaf's number."""
+        if len(x) <= leaf:
+            return x[:1], np.array([64], np.int16), np.array([[-1, -2]], np.int32)  # all on the inner side
+        vantage, bounds, children = [], [], []
+        group, n, nodes, leaves = np.zeros(len(x), np.int64), 1, 1, 0
+        while n:
+            order = np.argsort(group, kind="stable")
+            x, group = x[order], group[order]
+            start = np.searchsorted(group, np.arange(n + 1))
+            size = np.diff(start)
+            vantage.append(x[start[:-1] + rng.integers(0, size)])
+            d = np.bitwise_count(x ^ vantage[-1][group]).astype(np.int16)
+            order = np.lexsort((d, group))
+            x, d = x[order], d[order]
+            farthest = d[start[1:] - 1]
+            bounds.append(np.minimum(d[start[:-1] + (size - 1) // 2], farthest - 1))
+            side = 2 * group + (d > bounds[-1][group])
+            grows = (np.bincount(side, minlength=2 * n) > leaf) & np.repeat(farthest > 0, 2)
+            children.append(np.where(grows, nodes + np.cumsum(grows) - 1, -leaves - np.cumsum(~grows)).reshape(-1, 2))
+            goes = grows[side]
+            x, group, n = x[goes], (np.cumsum(grows) - 1)[side[goes]], int(grows.sum())
+            nodes, leaves = nodes + n, leaves + len(grows) - n
+        return np.concatenate(vantage), np.concatenate(bounds).astype(np.int16), np.concatenate(children).astype(np.int32)
+
+    def route(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each tree (row, leaf) of all leaves that the fingerprints visit."""
+        for key, (vantage, bound, children) in zip(self._keys(fps), self.trees, strict=True):
+            row, node, found = np.arange(len(key)), np.zeros(len(key), np.int64), []
+            while len(row):
+                d = np.bitwise_count(key[row] ^ vantage[node]).astype(np.int16)
+                inner, outer = d - self.near <= bound[node], d + self.near > bound[node]
+                row, node = np.concatenate([row[inner], row[outer]]), np.concatenate([children[node[inner], 0], children[node[outer], 1]])
+                ends = node < 0
+                found.append((row[ends], -1 - node[ends]))
+                row, node = row[~ends], node[~ends]
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (row, node)
+
+    def first(self, differ: np.ndarray) -> np.ndarray:
+        """The first tree that surely puts a pair into one leaf, by the pairs' differing bits; -1 if none does."""
+        inside = np.zeros((differ.shape[1], len(self.positions)), np.float32)
+        inside[self.positions.T, np.arange(len(self.positions))] = 1
+        sure = differ.astype(np.float32) @ inside <= self.near
+        return np.where(sure.any(1), sure.argmax(1), -1)
+
+
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """The fingerprints' bits, one a byte."""
+    return np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
+
+
+def grown(fps: DataFrame, n: int, words: int, tables: int, size: int, near: int = 0, leaf: int = 128, sample: int = 16384) -> Forest:
+    """The forest for the n rows of fps(fp); the bounded sample has the fingerprints with the smallest hash."""
+    rows = fps.select("fp").orderBy(F.xxhash64(F.lit(5), "fp"), "fp").limit(sample).toArrow()
+    drawn = _from_arrow(rows.column("fp"), words)
+    return Forest(drawn, sampled_bits(64 * words, tables, size), max(4, len(drawn) * leaf // max(1, n)), near)
+
+
+def _in_leaves(fps: DataFrame, n: int, words: int, forest: Forest) -> DataFrame:
+    """Each row of fps(fp, node, label) in the leaves that it visits; a shard holds neighbouring leaves of one tree."""
+    shift = min(10, max(0, (n // 4096).bit_length()))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 20000):
                 part = b.slice(at, 20000)
-                bits = np.unpackbits(_from_arrow(part.column(0), words).astype(">u8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
-                for t, chosen in enumerate(positions):
-                    key = (bits[:, chosen] @ weights).astype(np.int32)
-                    shard = (t << size - shift) + (key >> shift)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(key), pa.array(np.full(len(key), t, np.int32)), *part.columns], ["shard", "key", "t", "fp", "node", "label"])
+                for t, (row, leaf) in enumerate(forest.route(_from_arrow(part.column(0), words))):
+                    shard = (t << 20) + (leaf >> shift)
+                    columns = [c.take(pa.array(row)) for c in part.columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(np.full(len(row), t, np.int32)), *columns], ["shard", "leaf", "t", "fp", "node", "label"])
 
-    return fps.select("fp", "node", "label").mapInArrow(route, "shard int, key int, t int, fp binary, node bigint, label bigint")
+    return fps.select("fp", "node", "label").mapInArrow(route, "shard int, leaf int, t int, fp binary, node bigint, label bigint")
 
 
-def _in_buckets(group: pa.Table, words: int, found) -> None:
-    """Call found(fp, node, label, rows, differ) for blocks of rows of each bucket: their bits differing from all of its rows."""
-    node, key = np.asarray(group.column("node")), np.asarray(group.column("key"))
+def _search_leaves(group: pa.Table, words: int, found) -> None:
+    """Call found(fp, node, label, rows, differ) for blocks of rows of each leaf: their bits differing from all of its rows."""
+    node, key = np.asarray(group.column("node")), np.asarray(group.column("leaf"))
     order = np.lexsort((node, key))
     node, key, fp, label = node[order], key[order], _from_arrow(group.column("fp"), words)[order], np.asarray(group.column("label"))[order]
     ends = [*(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
@@ -337,8 +410,8 @@ def _in_buckets(group: pa.Table, words: int, found) -> None:
             found(fp[a:b], node[a:b], label[a:b], rows - a, differ)
 
 
-def closest_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int, size: int) -> DataFrame:
-    """(node, other, near): every node that shares a bucket with another within radius, the closest with a smaller number, and how many at most."""
+def closest_candidates(fps: DataFrame, n: int, radius: int, words: int, forest: Forest) -> DataFrame:
+    """(node, other, near): every node that shares a leaf with another within radius, the closest with a smaller number, and how many at most."""
 
     def run(group: pa.Table) -> pa.Table:
         out = []
@@ -353,21 +426,21 @@ def closest_candidates(fps: DataFrame, n: int, radius: int, words: int, tables:
                 best = lower.argmin(1)
                 out.append((node[rows[some]], node[best], lower[np.arange(len(best)), best].astype(np.int32), near[some].astype(np.int32)))
 
-        _in_buckets(group, words, found)
+        _search_leaves(group, words, found)
         a, b, d, near = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32))
         return pa.table({"node": pa.array(a), "other": pa.array(b, mask=d == 255), "differ": pa.array(d), "near": pa.array(near)})
 
-    each = _buckets(fps, n, words, tables, size).groupBy("shard").applyInArrow(run, "node bigint, other bigint, differ int, near int")
+    each = _in_leaves(fps, n, words, forest).groupBy("shard").applyInArrow(run, "node bigint, other bigint, differ int, near int")
     return each.groupBy("node").agg(F.min_by("other", "differ").alias("other"), F.max("near").alias("near"))
 
 
-def open_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int, size: int) -> DataFrame:
-    """(src, dst, dense) of all pairs within radius that share a bucket and have different labels, each from its first table.
+def open_candidates(fps: DataFrame, n: int, radius: int, words: int, forest: Forest) -> DataFrame:
+    """(src, dst, dense) of all pairs within radius that share a leaf and have different labels.
 
+    A pair comes from the first tree that surely finds it, a pair that no tree surely finds from each that does.
     A label is twice the number of a node's group, or for a dense node twice that of its cluster and one more. Pairs of
-    dense nodes don't come: a bucket gives links that span them instead, marked dense, at most one for each node.
+    dense nodes don't come: a leaf gives links that span them instead, marked dense, at most one for each node.
     """
-    positions = sampled_bits(64 * words, tables, size)
 
     def run(group: pa.Table) -> pa.Table:
         out, t = [], int(group.column("t")[0].as_py())
@@ -384,17 +457,15 @@ def open_candidates(fps: DataFrame, n: int, radius: int, words: int, tables: int
                 i, j = i[~both], j[~both]
             for at in range(0, len(i), 20000):
                 a, b = rows[i[at : at + 20000]], j[at : at + 20000]
-                bits = np.unpackbits((fp[a] ^ fp[b]).astype(">u8").view(np.uint8).reshape(len(a), -1), axis=1)
-                first = np.ones(len(a), bool)
-                for chosen in positions[:t]:
-                    first &= bits[:, chosen].any(1)
+                tree = forest.first(_bits(fp[a] ^ fp[b]))
+                first = (tree == t) | (tree < 0)
                 out.append((node[a[first]], node[b[first]], np.zeros(int(first.sum()), bool)))
 
-        _in_buckets(group, words, found)
+        _search_leaves(group, words, found)
         a, b, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
         return pa.table({"src": pa.array(a), "dst": pa.array(b), "dense": pa.array(d)})
 
-    return _buckets(fps, n, words, tables, size).groupBy("shard").applyInArrow(run, "src bigint, dst bigint, dense boolean")
+    return _in_leaves(fps, n, words, forest).groupBy("shard").applyInArrow(run, "src bigint, dst bigint, dense boolean")
 
 
 def similar_in_clusters(clusters: DataFrame, sets: DataFrame, percent: int, block: int = 1024, shingles: int = 4_000_000) -> DataFrame:
@@ -456,22 +527,24 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((F.col("_n") > 0) & (100 * F.col("_n") >= percent * (F.size("_a") + F.size("_b") - F.col("_n")))).select("src", "dst")
 
 
-def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, radius: int = 34, words: int = 2, tables: int = 96, size: int = 12, dense: int = 64) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, radius: int = 34, words: int = 2, tables: int = 64, size: int = 10, dense: int = 64) -> DataFrame:
     """The rows of docs, in their own columns, of one document of each near-duplicate group: its smallest doc_id.
 
     Two texts are linked if their words are the same, or if they share at least `percent` of all their distinct shingles
     of five words; groups are the components of these links, and texts without words are linked to each other only.
-    128-bit fingerprints choose the pairs that are compared: those within `radius` bits that agree on `size` sampled bits
-    in one of the tables. At a similarity of 0.8 fingerprints differ in 19 bits with a deviation of 4, which these
-    bounds find in all but about 1 of 700 pairs. First each text is compared with the closest one before it, then all
-    pairs that aren't in one group yet. Texts with `dense` or more others that close in one bucket don't give pairs: the
-    clusters that they make are compared exactly, block by block, and give spanning links. Rows that repeat the kept doc_id with a text of
-    its group stay, and so do rows without a doc_id, which no rule can choose between.
+    128-bit fingerprints choose the pairs that are compared: those within `radius` bits that meet in a leaf of one of
+    `tables` vantage-point trees, each over `size` sampled bits. At a similarity of 0.8 fingerprints differ in 19 bits
+    with a deviation of 4; fingerprints that agree on a tree's bits surely meet in it. First each text is compared with
+    the closest one before it, then all pairs that aren't in one group yet. Texts with `dense` or more others that close
+    in one leaf don't give pairs: the clusters that they make are compared exactly, block by block, and give spanning
+    links. Rows that repeat the kept doc_id with a text of its group stay, and so do rows without a doc_id, which no rule
+    can choose between.
     """
     signed = cut(_signed(docs, width, words))
     distinct = cut(signed.filter("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("rep"), F.min_by("raw", "doc_id").alias("raw")))
     n = distinct.count()
-    closest = cut(closest_candidates(distinct.withColumn("label", F.col("node")), n, radius, words, tables, size))
+    forest = grown(distinct, n, words, tables, size)
+    closest = cut(closest_candidates(distinct.withColumn("label", F.col("node")), n, radius, words, forest))
     held = distinct.join(closest.select("node"), "node").select("node", "rep", F.col("raw").alias("_raw"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("_raw"), "text").join(held, ["rep", "_raw"])
     sets = cut(shingle_sets(texts.dropDuplicates(["node"]), width))
@@ -483,7 +556,7 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, radiu
     first = connected_components(near_links).withColumnRenamed("component", "cluster")
     label = F.when(F.col("near") >= dense, F.shiftleft(F.coalesce("cluster", "node"), 1) + 1).otherwise(F.shiftleft(F.coalesce("component", "node"), 1))
     rest = distinct.join(closest.select("node", "near"), "node").join(groups, "node", "left").join(first, "node", "left").select("fp", "node", label.alias("label"))
-    open_pairs = cut(open_candidates(cut(rest), n, radius, words, tables, size))
+    open_pairs = cut(open_candidates(cut(rest), n, radius, words, forest))
     more = similar_pairs(open_pairs.filter("not dense").select("src", "dst"), sets, percent)
     clusters = connected_components(near_links.unionByName(open_pairs.filter("dense").select("src", "dst")))
     more = more.unionByName(similar_in_clusters(clusters, sets, percent))

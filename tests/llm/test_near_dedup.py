@@ -218,3 +218,31 @@ def test_stage_compares_dense_clusters_exactly(spark, options, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     kept = {r.doc_id for r in simhash.keep_one_per_group(docs, **options).collect()}
     assert kept == brute_force_kept(rows) and 20 < len(rows) - len(kept) < 240
+
+
+@pytest.mark.parametrize("near", [0, 1])
+def test_forest_loses_no_pair_within_its_bits(near):
+    """Fingerprints within `near` of a tree's bits meet in one of its leaves; leaves hold few rows, and all of them."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, (1500, 2), np.uint64)
+    fps[500:1000] = fps[:500] ^ (np.uint64(1) << rng.integers(0, 64, (500, 2)).astype(np.uint64))
+    positions = simhash.sampled_bits(128, 6, 12)
+    forest = simhash.Forest(fps[:800], positions, 16, near)
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
+    for chosen, (row, leaf) in zip(positions, forest.route(fps), strict=True):
+        inside = np.zeros((len(fps), leaf.max() + 1), np.float32)
+        inside[row, leaf] = 1
+        close = (bits[:, None, chosen] != bits[None, :, chosen]).sum(2) <= near
+        assert set(row) == set(range(len(fps))) and (inside @ inside.T)[close].all()
+        assert inside.sum(0).max() < (120 if near == 0 else 800) and (near or len(row) == len(fps))
+
+
+def test_stage_finds_its_pairs_by_vantage_point_trees(spark, monkeypatch):
+    """With trees that send nothing anywhere no pair is found, with one tree of all rows in one leaf each pair is."""
+    rows = list(enumerate(similar_texts(random.Random(31), 30, 200, 0.9)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert simhash.keep_one_per_group(docs, tables=1).count() == 30
+    grow = simhash.grown
+    apart = np.zeros(0, np.int64)
+    monkeypatch.setattr(simhash, "grown", lambda *a: type("Apart", (), {"route": lambda self, fps: iter([(apart, apart)])})() if grow(*a) else None)
+    assert simhash.keep_one_per_group(docs).count() == 60
