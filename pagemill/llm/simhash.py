@@ -493,9 +493,11 @@ def similar_in_clusters(clusters: DataFrame, sets: DataFrame, percent: int, bloc
             ones = np.zeros((len(n), 2048), np.float32)
             ones[row[a:b], column[a:b] - at] = 1
             shared += ones @ ones.T
-        like = (shared > 0) & (100 * shared >= percent * (n[:, None] + n[None, :] - shared))
         sets_of = _Sets(len(n))
-        sets_of.join(*np.nonzero(np.triu(like, 1)))
+        for at in range(0, len(n), 256):
+            part = shared[at : at + 256].astype(np.float64)
+            a, b = np.nonzero((part > 0) & (100 * part >= percent * (n[at : at + 256, None] + n[None, :] - part)))
+            sets_of.join(a[a + at < b] + at, b[a + at < b])
         moved = np.flatnonzero(sets_of.label != np.arange(len(n)))
         return pa.table({"src": pa.array(node[moved]), "dst": pa.array(node[sets_of.label[moved]])})
 

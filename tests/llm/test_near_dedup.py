@@ -246,3 +246,24 @@ def test_stage_finds_its_pairs_by_vantage_point_trees(spark, monkeypatch):
     apart = np.zeros(0, np.int64)
     monkeypatch.setattr(simhash, "grown", lambda *a: type("Apart", (), {"route": lambda self, fps: iter([(apart, apart)])})() if grow(*a) else None)
     assert simhash.keep_one_per_group(docs).count() == 60
+
+
+def test_components_of_few_links_stay_in_few_partitions(spark):
+    """Each partition writes files of its own in every round; few links don't need as many as the session's shuffles have."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = spark.createDataFrame([(k, k + 1) for k in range(30)], "src bigint, dst bigint")
+        got = connected_components(links)
+        assert {r.node: r.component for r in got.collect()} == dict.fromkeys(range(31), 0)
+        from pagemill.llm import components
+
+        pairs = links.select("src", "dst").toDF("u", "v")
+        labels = components._label(pairs.union(pairs.select("v", "u")), components.LEAST_PARTS)
+        assert labels.rdd.getNumPartitions() <= components.LEAST_PARTS
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
