@@ -59,10 +59,21 @@ class _Kept(dict):
 
     def find(self, pieces: list[str], together: Callable[[list[str]], dict[str, bytes]]) -> list[bytes | None]:
         """As a lookup of each piece; `together` may know the ids of some of those that are new."""
-        new = together([p for p in pieces if p not in self and p not in self.old])
-        for piece, found in new.items():
-            self.keep(piece, found)
-        return [found if (found := new.get(p)) is not None else self[p] for p in pieces] if new else [self[p] for p in pieces]
+        found = list(map(self.get, pieces))  # None where a piece is new, or ends in white space
+        missing = [i for i, f in enumerate(found) if f is None]
+        new = together([p for i in missing if (p := pieces[i]) not in self and p not in self.old])
+        self.keep_all({p: f for p, f in new.items() if len(p) <= KEPT_CHARS})
+        for i in missing:
+            piece = pieces[i]
+            found[i] = f if (f := new.get(piece)) is not None else self[piece]
+        return found
+
+    def keep_all(self, found: dict[str, bytes]) -> None:
+        self.size += sum(map(len, found)) + _ENTRY * len(found)
+        if self.size > KEPT_BYTES:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self.update(found)
 
 
 def _strings(pieces: pa.StringArray) -> list[str]:

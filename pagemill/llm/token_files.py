@@ -28,7 +28,7 @@ from pagemill.llm.shared import table_path
 
 MAGIC, VERSION = b"PMTK", 2
 #: ids of a segment (more only where one document has more), ids of a block, and blocks that are coded together
-SEGMENT, BLOCK, LANES = 4_000_000, 1024, 4096
+SEGMENT, BLOCK, LANES = 5_000_000, 1024, 5120
 _HEAD = struct.Struct("<4sHHIIQII")
 _PLAIN = 1 << 31  # set in the length of a block that is stored as it is
 _SLOTS, _STATES = 512, 32
@@ -109,9 +109,10 @@ class _Model:
             self._renew()
 
 
-def _interval(first: np.ndarray, both: np.ndarray, miss: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.where(miss, np.where(other, both, first), _U(0))
-    return start, np.where(miss, np.where(other, _U(_TOTAL), both), first) - start
+def _interval(first: np.ndarray, both: np.ndarray, end: np.ndarray, miss: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, width) of the intervals that end at first, at both or at end."""
+    start = np.where(other, both, first) * miss
+    return start, np.where(miss, np.where(other, end, both), first) - start
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -132,9 +133,8 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         first, both = model.predict()
         miss = x != model.c2
         other = miss & (x != model.c1)
-        start, size = _interval(first, both, miss, other)
         r = width >> _U(_TOTAL_BITS)
-        add, width = r * start, r * size
+        add, width = _interval(r * first, r * both, r << _U(_TOTAL_BITS), miss, other)
         if len(e := other.nonzero()[0]):
             own = x.take(e).astype(np.int64)
             kind = _CLASS.take(own)
@@ -174,11 +174,10 @@ def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
     for t in range(length):
         first, both = model.predict()
         r = width >> _U(_TOTAL_BITS)
-        value = code // r
-        miss, other = value >= first, value >= both
-        start, size = _interval(first, both, miss, other)
-        code -= r * start
-        width = r * size
+        first, both = r * first, r * both
+        miss, other = code >= first, code >= both
+        start, width = _interval(first, both, r << _U(_TOTAL_BITS), miss, other)
+        code -= start
         x = np.where(miss, model.c1, model.c2)
         if len(e := other.nonzero()[0]):
             r, rest, base = width.take(e) >> _U(_FREQ_BITS), code.take(e), model.base.take(e)
@@ -266,6 +265,8 @@ def library_encoder(path: str) -> tuple[ChunkEncoder, str]:
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
+        if hasattr(tokenizer.model, "_resize_cache"):
+            tokenizer.model._resize_cache(0)  # pieces are kept here, and the model's own cache costs more than it saves
         settings, (kind, code) = json.loads(tokenizer.to_str()), ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         before = settings["pre_tokenizer"] or {}
         known = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not settings["normalizer"]
@@ -284,8 +285,8 @@ def library_encoder(path: str) -> tuple[ChunkEncoder, str]:
 
         def together(pieces: list[str]) -> dict[str, bytes]:
             found, plain = {}, [p for p in pieces if p[0] in " \n" and p[1:].isalpha() and (p.isascii() or max(p) < "\u0250")]
-            for at in range(0, len(plain), 8192):
-                part = plain[at : at + 8192]
+            for at in range(0, len(plain), 1024):
+                part = plain[at : at + 1024]
                 text = "".join(part)
                 text = (text if text.isascii() else text.encode().decode("latin-1").translate(named)).replace(" ", " " + names[32]).replace("\n", f" {names[10]} ")
                 ids = np.array(words.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
