@@ -28,7 +28,7 @@ from pagemill.llm.shared import table_path
 
 MAGIC, VERSION = b"PMTK", 2
 #: ids of a segment (more only where one document has more), ids of a block, and blocks that are coded together
-SEGMENT, BLOCK, LANES = 5_000_000, 1024, 5120
+SEGMENT, BLOCK, LANES = 7_000_000, 1024, 7168
 _HEAD = struct.Struct("<4sHHIIQII")
 _PLAIN = 1 << 31  # set in the length of a block that is stored as it is
 _SLOTS, _STATES = 512, 32
