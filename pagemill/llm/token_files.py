@@ -3,9 +3,10 @@
 A file row is a segment: whole documents in order, their ids cut into blocks of equal length. Every block starts from
 the same empty model and has its own checksum, so blocks decode alone; here many blocks of a segment are coded together,
 one NumPy step for the next id of each. An id's probability mixes three predictions: the id last seen after the same two
-ids, the id last seen after the same one, and the frequencies so far of classes of ids that share their leading bits.
-The weights of the first two are their rates of hits so far, kept for each pair of their states of confidence. Weights
-and frequencies are renewed at steps that grow apart. A block that coding would not shorten is stored as it is.
+ids, the id last seen after the same one, and the frequencies of ids in the segment, which stand before its blocks.
+The weights of the first two are their rates of hits so far, kept for each pair of their states of confidence, and are
+renewed at steps that grow apart. A block that coding would not shorten is stored as it is. Segments too small for a
+table of frequencies take all ids as equally frequent.
 """
 
 from __future__ import annotations
@@ -26,30 +27,43 @@ from pyspark.sql import functions as F
 from pagemill.llm.chunks import ChunkEncoder, byte_names
 from pagemill.llm.shared import table_path
 
-MAGIC, VERSION = b"PMTK", 2
+MAGIC, VERSION = b"PMTK", 3
 #: ids of a segment (more only where one document has more), ids of a block, and blocks that are coded together
 SEGMENT, BLOCK, LANES = 7_000_000, 1024, 7168
-_HEAD = struct.Struct("<4sHHIIQII")
+_HEAD = struct.Struct("<4sHHIIQIII")
 _PLAIN = 1 << 31  # set in the length of a block that is stored as it is
-_SLOTS, _STATES = 512, 32
-_TOTAL_BITS, _FREQ_BITS = 16, 12
-_TOTAL, _PART = 1 << _TOTAL_BITS, 1 << _FREQ_BITS
+_SLOTS, _STATES = 256, 32
+_TOTAL_BITS = _FREQ_BITS = 16
+_TOTAL = 1 << _TOTAL_BITS
+_TABLE_PART = 32  # a table of frequencies may take so small a part of the plain ids
+_LAST_RENEWAL = 256  # steps before the last renewal of the weights
 _U = np.uint64
 _WORD, _SMALL, _ALL = _U(32), _U(1 << 32), _U((1 << 64) - 1)
 
 
-def _classes(leading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each 16-bit id, first id of each class, free bits of each class): ids that share their leading bits."""
-    ids = np.arange(1 << 16)
-    free = np.maximum(np.frexp(ids)[1] - leading, 0)
-    kind = (free << (leading - 1)) + (ids >> free)
-    first = np.searchsorted(kind, np.arange(kind[-1] + 1))
-    return kind, first, free[first].astype(np.uint64)
+class _Frequencies:
+    """The frequencies of 16-bit ids out of 2**16: all equal, or those of a packed table."""
 
+    def __init__(self, table: bytes = b""):
+        self.size = np.ones(_TOTAL, np.uint32)
+        if table:
+            raw = np.frombuffer(zlib.decompress(table), "<u2").reshape(2, -1)
+            self.size = np.zeros(_TOTAL, np.uint32)
+            self.size[np.cumsum(raw[0], dtype=np.int64)] = raw[1].astype(np.uint32) + 1
+        self.start = np.cumsum(self.size, dtype=np.uint32) - self.size
+        self.id = np.repeat(np.arange(_TOTAL, dtype=np.int32), self.size)
 
-_CLASS, _FIRST, _FREE = _classes(4)
-_KINDS = len(_FIRST)
-_HALVES = [1 << k for k in reversed(range((_KINDS - 1).bit_length()))]
+    @staticmethod
+    def table(ids: np.ndarray) -> bytes:
+        """The packed table of some ids' frequencies: steps between ids, frequencies less one. Empty where it is too large."""
+        count = np.bincount(ids, minlength=_TOTAL)
+        there = count.nonzero()[0]
+        if not len(there):
+            return b""
+        size = 1 + count[there] * (_TOTAL - len(there)) // len(ids)
+        size[size.argmax()] += _TOTAL - size.sum()
+        packed = zlib.compress(np.concatenate([np.diff(there, prepend=0), size - 1]).astype("<u2").tobytes())
+        return packed if len(packed) * _TABLE_PART <= 2 * len(ids) else b""
 
 
 class _Model:
@@ -58,31 +72,22 @@ class _Model:
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
         self.one, self.two = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)  # id and confidence
-        self.slot, self.states, self.kinds, self.base = lane * _SLOTS, lane * _STATES, lane * _KINDS, lane * 2 * _HALVES[0]
-        self.counts, self.sums = np.zeros((lanes, _KINDS), np.int32), np.full((lanes, 2 * _HALVES[0]), _PART, np.int32)
-        self.sums[:, 0] = 0
-        self.flat = self.sums.reshape(-1)
+        self.slot, self.states = lane * _SLOTS, lane * _STATES
         # Hits of the first, of the second, and of neither, to begin with: 64 for each state of confidence.
         state = np.arange(_STATES)
         first = np.array([6, 24, 44, 56])[state >> 3]
         second = (64 - first) * np.where(state & 1, 0, np.array([4, 12, 24, 36])[state >> 1 & 3]) // 64
         self.seen = np.tile(np.stack([first, second, 64 - first - second], 1).astype(np.int32), (lanes, 1))
         self.x1 = self.mark = np.zeros(lanes, np.int64)
-        self.ids, self.where = np.zeros((512, lanes), np.uint16), np.zeros((512, lanes), np.int32)
-        self.missed = np.zeros((512, lanes), np.int8)
+        self.where, self.missed = np.zeros((_LAST_RENEWAL, lanes), np.int32), np.zeros((_LAST_RENEWAL, lanes), np.int8)
         self.step, self.renew_at = 0, 16
         self._renew()
 
     def _renew(self) -> None:
         n = self.step
         if n:
-            kind = _CLASS.take(self.ids[:n])
-            kind += self.kinds
-            self.counts += np.bincount(kind.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
             self.seen += 4 * np.bincount((self.where[:n] * 3 + self.missed[:n]).ravel(), minlength=self.seen.size).reshape(-1, 3)
-            self.step, self.renew_at = 0, min(512, self.renew_at * 2)
-        scale = ((_PART - _KINDS) << 14) // (4 * self.counts.sum(1, dtype=np.int32) + _KINDS)
-        np.cumsum(((4 * self.counts[:, :-1] + 1) * scale[:, None] >> 14) + 1, axis=1, out=self.sums[:, 1:_KINDS])
+            self.step, self.renew_at = 0, self.renew_at * 2
         rates = (self.seen << 16) // self.seen.sum(1, dtype=np.int32)[:, None]
         first = np.clip(rates[:, 0], 16, _TOTAL - 2048)
         self.first, self.both = first.astype(np.uint64), (first + np.clip(rates[:, 1], 16, _TOTAL - 1024 - first)).astype(np.uint64)
@@ -92,21 +97,23 @@ class _Model:
         self.i2 = ((self.x1 ^ self.mark) & (_SLOTS - 1)) + self.slot
         self.i1 = (self.x1 & (_SLOTS - 1)) + self.slot
         e2, e1 = self.two.take(self.i2), self.one.take(self.i1)
-        self.c2, self.c1, self.e2, self.e1 = e2 >> 5, e1 >> 3, e2, e1
+        self.c2, self.c1, self.e2, self.e1 = e2 >> 5, e1 >> 5, e2, e1
         self.at = (e2 & 24) + (e1 & 6) + (self.c1 == self.c2) + self.states
         return self.first.take(self.at), self.both.take(self.at)
 
     def update(self, x: np.ndarray, miss: np.ndarray, other: np.ndarray) -> None:
         """Take in the lanes' ids, which of them the first candidate missed, and which of them both."""
-        self.ids[self.step], self.where[self.step] = x, self.at
-        np.add(miss, other, out=self.missed[self.step], dtype=np.int8)
         # An entry is an id and its confidence, which a hit raises up to 3 and a miss sets to 0.
-        self.two[self.i2] = np.where(miss, x << 5, np.minimum(self.e2 + 8, self.e2 | 24))
-        self.one[self.i1] = np.where(x == self.c1, np.minimum(self.e1 + 2, self.e1 | 6), x << 3)
+        entry = x << 5
+        self.two[self.i2] = np.where(miss, entry, np.minimum(self.e2 + 8, self.e2 | 24))
+        self.one[self.i1] = np.where(x == self.c1, np.minimum(self.e1 + 2, self.e1 | 6), entry)
         self.mark, self.x1 = self.x1 * 37, x.astype(np.int64)
-        self.step += 1
-        if self.step == self.renew_at:
-            self._renew()
+        if self.renew_at <= _LAST_RENEWAL:
+            self.where[self.step] = self.at
+            np.add(miss, other, out=self.missed[self.step], dtype=np.int8)
+            self.step += 1
+            if self.step == self.renew_at:
+                self._renew()
 
 
 def _interval(first: np.ndarray, both: np.ndarray, end: np.ndarray, miss: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +122,10 @@ def _interval(first: np.ndarray, both: np.ndarray, end: np.ndarray, miss: np.nda
     return start, np.where(miss, np.where(other, end, both), first) - start
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The coded bytes of each row of 16-bit ids (blocks x length)."""
+def encode_blocks(ids: np.ndarray, table: bytes = b"") -> list[bytes]:
+    """The coded bytes of each row of 16-bit ids (blocks x length), by a packed table of frequencies that has them all."""
     lanes, length = ids.shape
-    model, cap = _Model(lanes), length + 4
+    model, frequencies, cap = _Model(lanes), _Frequencies(table), length + 4
     begin = np.arange(lanes) * cap + 1  # the word before takes no carry: a block's number is below 1
     out, at = np.zeros(lanes * cap + 1, np.uint32), begin.copy()
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
@@ -136,14 +143,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         r = width >> _U(_TOTAL_BITS)
         add, width = _interval(r * first, r * both, r << _U(_TOTAL_BITS), miss, other)
         if len(e := other.nonzero()[0]):
-            own = x.take(e).astype(np.int64)
-            kind = _CLASS.take(own)
-            j = model.base.take(e) + kind
-            r = width.take(e) >> _U(_FREQ_BITS)
-            start = model.flat.take(j).astype(np.uint64)
-            size = (model.flat.take(j + 1).astype(np.uint64) - start) * r >> _FREE.take(kind)
-            add[e] += start * r + size * (own - _FIRST.take(kind)).astype(np.uint64)
-            width[e] = size
+            own, r = x.take(e), width.take(e) >> _U(_FREQ_BITS)
+            add[e] += frequencies.start.take(own) * r
+            width[e] = frequencies.size.take(own) * r
         low += add
         if len(over := (low < add).nonzero()[0]):
             carry(over)
@@ -159,9 +161,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     return [out[b : e + 1].astype("<u4").tobytes() for b, e in zip(begin.tolist(), at.tolist(), strict=True)]
 
 
-def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
-    """The ids (blocks x length) of coded blocks."""
-    lanes = len(coded)
+def decode_blocks(coded: list[bytes], length: int, table: bytes = b"") -> np.ndarray:
+    """The ids (blocks x length) of blocks that were coded by the table."""
+    lanes, frequencies = len(coded), _Frequencies(table)
     words = [np.frombuffer(c, "<u4") for c in coded]
     cap = max((len(w) for w in words), default=0) + 4
     data = np.zeros((lanes, cap), np.uint32)
@@ -180,19 +182,9 @@ def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
         code -= start
         x = np.where(miss, model.c1, model.c2)
         if len(e := other.nonzero()[0]):
-            r, rest, base = width.take(e) >> _U(_FREQ_BITS), code.take(e), model.base.take(e)
-            value = np.minimum(rest // r, _U(_PART - 1)).astype(np.int32)
-            j = base
-            for half in _HALVES:
-                up = j + half
-                j = np.where(model.flat.take(up) <= value, up, j)
-            kind = j - base
-            start, free = model.flat.take(j).astype(np.uint64), _FREE.take(kind)
-            size = (model.flat.take(j + 1).astype(np.uint64) - start) * r >> free
-            rest -= start * r
-            value = np.minimum(rest // size, (_U(1) << free) - _U(1))
-            code[e], width[e] = rest - value * size, size
-            x[e] = value.astype(np.int64) + _FIRST.take(kind)
+            r, rest = width.take(e) >> _U(_FREQ_BITS), code.take(e)
+            own = frequencies.id.take(np.minimum(rest // r, _U(_TOTAL - 1)).astype(np.int64))
+            code[e], width[e], x[e] = rest - frequencies.start.take(own) * r, frequencies.size.take(own) * r, own
         if len(n := (width < _SMALL).nonzero()[0]):
             p = np.minimum(at.take(n), last)  # a damaged block may ask for more than there is
             code[n] = code.take(n) << _WORD | data.take(p)
@@ -209,28 +201,33 @@ def pack(doc_ids: list[int | None], ids: list[bytes], kind: str = "<u2") -> byte
     size = tokens.dtype.itemsize
     n = -(-len(tokens) // BLOCK)
     coded: list[bytes] = []
+    tables: list[bytes] = []
     for half in range(size // 2):
         padded = np.zeros((n, BLOCK), "<u2")
         padded.reshape(-1)[: len(tokens)] = (tokens >> (16 * half) & 0xFFFF) if half or size > 2 else tokens
+        tables.append(_Frequencies.table(padded.reshape(-1)))
         for at in range(0, n, LANES):
             part = padded[at : at + LANES]
-            coded += [c if len(c) < 2 * BLOCK else row.tobytes() for c, row in zip(encode_blocks(part), part, strict=True)]
+            coded += [c if len(c) < 2 * BLOCK else row.tobytes() for c, row in zip(encode_blocks(part, tables[-1]), part, strict=True)]
     index = np.array([[len(c) | (_PLAIN if len(c) == 2 * BLOCK else 0), zlib.crc32(c)] for c in coded], "<u4").tobytes()
     known = np.array([d is not None for d in doc_ids], np.uint8).tobytes()
     docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([len(i) // size for i in ids], "<u4").tobytes() + known
-    body = docs + index
-    return _HEAD.pack(MAGIC, VERSION, size // 2, BLOCK, len(doc_ids), len(tokens), n, zlib.crc32(body)) + body + b"".join(coded)
+    body = docs + index + np.array([len(t) for t in tables], "<u4").tobytes() + b"".join(tables)
+    return _HEAD.pack(MAGIC, VERSION, size // 2, BLOCK, len(doc_ids), len(tokens), n, len(body), zlib.crc32(body)) + body + b"".join(coded)
 
 
 def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, ids of each document, all ids) of a segment; a checksum that doesn't match is an error."""
-    magic, version, halves, block, docs, tokens, n, crc = _HEAD.unpack_from(segment)
-    at, body = _HEAD.size, docs * 13 + n * halves * 8
+    magic, version, halves, block, docs, tokens, n, body, crc = _HEAD.unpack_from(segment)
+    at = _HEAD.size
     if magic != MAGIC or version != VERSION or zlib.crc32(segment[at : at + body]) != crc:
         raise ValueError("not a token segment, or its index is damaged")
     ids, count = np.frombuffer(segment, "<i8", docs, at), np.frombuffer(segment, "<u4", docs, at + 8 * docs)
     known = np.frombuffer(segment, np.uint8, docs, at + 12 * docs)
     index = np.frombuffer(segment, "<u4", 2 * n * halves, at + 13 * docs).reshape(-1, 2)
+    lengths = np.frombuffer(segment, "<u4", halves, at + 13 * docs + 8 * n * halves)
+    starts = at + body - int(lengths.sum()) + np.cumsum(lengths, dtype=np.int64) - lengths
+    tables = [segment[s : s + k] for s, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
     plain, sizes = index[:, 0] >= _PLAIN, (index[:, 0] & (_PLAIN - 1)).astype(np.int64)
     ends = at + body + np.cumsum(sizes)
     coded = [segment[e - size : e] for e, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -240,10 +237,11 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     out = np.empty((n * halves, block), np.uint32)
     for i in plain.nonzero()[0].tolist():
         out[i] = np.frombuffer(coded[i], "<u2")
-    rest = (~plain).nonzero()[0]
-    for k in range(0, len(rest), LANES):
-        rows = rest[k : k + LANES]
-        out[rows] = decode_blocks([coded[i] for i in rows.tolist()], block)
+    for half, table in enumerate(tables):
+        rest = half * n + (~plain[half * n : half * n + n]).nonzero()[0]
+        for k in range(0, len(rest), LANES):
+            rows = rest[k : k + LANES]
+            out[rows] = decode_blocks([coded[i] for i in rows.tolist()], block, table)
     all_ids = out[:n].reshape(-1)[:tokens]
     if halves == 2:
         all_ids = all_ids | out[n:].reshape(-1)[:tokens] << np.uint32(16)

@@ -157,6 +157,23 @@ def test_op3_wide_ids_and_plain_blocks():
         assert len(segment) < 5120 * np.dtype(kind).itemsize + 2500
 
 
+def test_op3_table_of_frequencies():
+    """Ids that no context foretells cost what their frequencies say; a segment too small for a table does without."""
+    rng = np.random.default_rng(3)
+    seldom = rng.choice(1 << 16, 300, replace=False)
+    for kind, shift in (("<u2", 0), ("<u4", 16)):
+        ids = [(rng.choice(seldom, n).astype(np.uint32) << shift).astype(kind).tobytes() for n in (150_000, 0, 50_001)]
+        segment = token_files.pack([1, 2, 3], ids, kind)
+        _, count, found = token_files.unpack(segment)
+        assert count.tolist() == [150_000, 0, 50_001] and found.astype(kind).tobytes() == b"".join(ids)
+        assert len(segment) < 1.25 * 200_001  # log2(300) bits an id are 1.03 bytes
+    for ids in (np.arange(1 << 16), np.zeros(200_000, int), np.full(200_000, 65535), np.repeat(np.arange(1 << 16), 20)):
+        table = token_files._Frequencies.table(ids)
+        frequencies = token_files._Frequencies(table)
+        assert frequencies.size.sum() == 1 << 16 and len(frequencies.id) == 1 << 16 and frequencies.size[ids].all()
+    assert token_files._Frequencies.table(seldom) == b"" == token_files._Frequencies.table(np.zeros(0, int))
+
+
 def test_op3_repeated_and_missing_ids(spark):
     rows = [(5, "b b"), (5, "a"), (None, "first"), (5, "a"), (9, None)]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, start int, data string")
