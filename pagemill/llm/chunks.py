@@ -21,8 +21,8 @@ KEPT_BYTES, KEPT_CHARS = 128 << 20, 200
 SLICE = 16 << 20
 _ENTRY = 200  # bytes of a kept piece beside its characters and ids
 #: Marks before which every pattern cuts if a letter or digit of ASCII, or a letter from U+00C0 to U+00FF, stands before them.
-_IS_MARK = np.isin(np.arange(256), [ord(c) for c in string.punctuation if c != "'"])
-_IS_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_IS_MARK = bytes(chr(b) in string.punctuation and chr(b) != "'" for b in range(256))
+_IS_ALNUM = bytes(b < 128 and chr(b).isalnum() for b in range(256))
 _STEP = 1 << 18  # pieces whose ids are put in place together
 
 
@@ -59,16 +59,20 @@ class _Kept(dict):
 
     def find(self, pieces: list[str], together: Callable[[list[str]], dict[str, bytes]]) -> list[bytes | None]:
         """As a lookup of each piece; `together` may know the ids of some of those that are new."""
-        found = list(map(self.get, pieces))  # None where a piece is new, or ends in white space
+        found = list(map(self.get, pieces))  # None where a piece is new or old, or ends in white space
         missing = [i for i, f in enumerate(found) if f is None]
-        new = together([p for i in missing if (p := pieces[i]) not in self and p not in self.old])
-        self.keep_all({p: f for p, f in new.items() if len(p) <= KEPT_CHARS})
-        for i in missing:
-            piece = pieces[i]
-            found[i] = f if (f := new.get(piece)) is not None else self[piece]
+        again = [pieces[i] for i in missing]
+        old = list(map(self.old.get, again))
+        new = together([p for p, f in zip(again, old) if f is None])
+        kept = {p: f for p, f in zip(again, old) if f is not None} | new
+        for i, piece in zip(missing, again):
+            found[i] = f if (f := kept.get(piece)) is not None else self[piece]
+        self.keep_all(kept)
         return found
 
     def keep_all(self, found: dict[str, bytes]) -> None:
+        if max(map(len, found), default=0) > KEPT_CHARS:
+            found = {p: f for p, f in found.items() if len(p) <= KEPT_CHARS}
         self.size += sum(map(len, found)) + _ENTRY * len(found)
         if self.size > KEPT_BYTES:
             self.old, self.size = dict(self), 0
@@ -121,16 +125,18 @@ class ChunkEncoder:
         cut = np.zeros(len(data) + 1, bool)
         for c in self.cuts:
             cut[:-1] |= data == ord(c)
-        mark = _IS_MARK.take(data)
-        cut[1:-1] |= mark[1:] & _IS_ALNUM.take(data[:-1])
+        raw = data.tobytes()
+        mark, alnum = np.frombuffer(raw.translate(_IS_MARK), bool), np.frombuffer(raw.translate(_IS_ALNUM), bool)
+        cut[1:-1] |= mark[1:] & alnum[:-1]
         cut[2:-1] |= mark[2:] & (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)  # but for two signs, letters
         cut[rows] = True
         cuts = np.flatnonzero(cut).astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
         which, found = pieces.indices.to_numpy(), self.kept.find(_strings(pieces.dictionary), self.together)
-        unsure = np.array([f is None for f in found])
-        found = [f or b"" for f in found]
-        size = np.array([len(f) for f in found], np.int32) // self.kind.itemsize
+        unsure = np.zeros(len(found), bool)
+        for i in [i for i, f in enumerate(found) if f is None]:
+            unsure[i], found[i] = True, b""
+        size = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
         ids, start = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
         after = np.concatenate([[0], np.cumsum(size.take(which))])
         out = np.empty(after[-1], self.kind)
