@@ -112,11 +112,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids = list(own.encode.column(part.column(part.num_columns - 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*keep, "ids"])
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000)
+                    ids = list(own.encode.column(part.column(part.num_columns - 1)))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*keep, "ids"])
+        finally:
+            b = part = ids = None
+            own.encode.rest()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids binary"
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
@@ -127,11 +131,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = codec(path, pattern), hashlib.sha256
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids = list(own.encode.column(part.column(part.num_columns - 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([sha(own.decode(x)).hexdigest() for x in ids], pa.string())], [*keep, "ids", "decoded_sha256"])
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000)
+                    ids = list(own.encode.column(part.column(part.num_columns - 1)))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([sha(own.decode(x)).hexdigest() for x in ids], pa.string())], [*keep, "ids", "decoded_sha256"])
+        finally:
+            b = part = ids = None
+            own.encode.rest()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids binary, decoded_sha256 string"
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)

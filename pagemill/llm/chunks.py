@@ -103,6 +103,11 @@ class ChunkEncoder:
     def __call__(self, text: str) -> bytes:
         return next(self.column(pa.array([text])))
 
+    def rest(self) -> None:
+        """To be called when a task ends: its worker lives on beside other work, so the pieces and Arrow's unused memory are given back."""
+        self.kept = _Kept(self.encode)
+        pa.default_memory_pool().release_unused()
+
     def column(self, texts: pa.Array) -> Iterator[bytes]:
         """Each text's ids; a null has none. Texts are taken in groups of SLICE bytes, a longer one alone."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
