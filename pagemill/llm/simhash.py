@@ -472,13 +472,14 @@ def similar_in_clusters(clusters: DataFrame, sets: DataFrame, percent: int, bloc
     """(src, dst) links that span the similar texts of each cluster of clusters(node, component), compared exactly.
 
     A cluster of more than `block` texts, or of more than so many shingles, is compared in pairs of blocks, each a group
-    of its own; a group counts shared shingles by products of 0-1 matrices and returns at most a link for each text.
+    of its own; a group counts shared shingles by products of 0-1 matrices and returns links that span its texts. Two
+    different blocks give only those that their own links, which each block gives once, don't make needless.
     """
 
     def run(group: pa.Table) -> pa.Table:
         node = np.asarray(group.column("node"))
         order = np.argsort(node, kind="stable")
-        node, lists = node[order], group.column("shingles").combine_chunks()
+        node, own, lists = node[order], np.asarray(group.column("own"))[order], group.column("shingles").combine_chunks()
         each = [np.asarray(lists[int(i)].values) for i in order]
         n = np.array([len(x) for x in each])
         row = np.repeat(np.arange(len(n)), n)
@@ -493,19 +494,24 @@ def similar_in_clusters(clusters: DataFrame, sets: DataFrame, percent: int, bloc
             ones = np.zeros((len(n), 2048), np.float32)
             ones[row[a:b], column[a:b] - at] = 1
             shared += ones @ ones.T
-        sets_of = _Sets(len(n))
+        inside, sets_of = _Sets(len(n)), _Sets(len(n))
         for at in range(0, len(n), 256):
             part = shared[at : at + 256].astype(np.float64)
             a, b = np.nonzero((part > 0) & (100 * part >= percent * (n[at : at + 256, None] + n[None, :] - part)))
-            sets_of.join(a[a + at < b] + at, b[a + at < b])
-        moved = np.flatnonzero(sets_of.label != np.arange(len(n)))
+            a, b = a[a + at < b] + at, b[a + at < b]
+            sets_of.join(a, b)
+            if (own != own[0]).any():
+                same = own[a] == own[b]
+                inside.join(a[same], b[same])
+        # A set of several blocks is a star of its blocks' own sets: their smallest texts.
+        moved = np.flatnonzero((sets_of.label != np.arange(len(n))) & (inside.label == np.arange(len(n))))
         return pa.table({"src": pa.array(node[moved]), "dst": pa.array(node[sets_of.label[moved]])})
 
     rows = clusters.join(sets, "node").select("component", "node", "shingles")
     sizes = rows.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("all"))
     dealt = cut(sizes.select("component", F.ceil(F.greatest(F.col("m") / block, F.col("all") / shingles)).cast("int").alias("blocks")))
     known = rows.join(dealt, "component").withColumn("own", F.pmod(F.xxhash64(F.lit(4), "node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = known.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "shingles")
+    paired = known.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "shingles")
     return paired.groupBy("component", "lo", "hi").applyInArrow(run, "src bigint, dst bigint")
 
 

@@ -220,6 +220,18 @@ def test_stage_compares_dense_clusters_exactly(spark, options, monkeypatch):
     assert kept == brute_force_kept(rows) and 20 < len(rows) - len(kept) < 240
 
 
+def test_clusters_of_many_blocks_give_few_links(spark):
+    """400 near copies in blocks of about 40: links were given again by every pair of blocks, with the square of the size."""
+    base = list(range(1000, 1100))
+    rows = [(i, [*base, i]) for i in range(400)] + [(400, [1, 2, 3])]
+    sets = spark.createDataFrame(rows, "node bigint, shingles array<bigint>")
+    clusters = sets.select("node", F.lit(0).cast("bigint").alias("component"))
+    links = simhash.similar_in_clusters(clusters, sets, 80, 40).toPandas()
+    assert 399 <= len(links) <= 500
+    label = plain_components(401, list(zip(links.src, links.dst, strict=True)))
+    assert label == [0] * 400 + [400]
+
+
 @pytest.mark.parametrize("near", [0, 1])
 def test_forest_loses_no_pair_within_its_bits(near):
     """Fingerprints within `near` of a tree's bits meet in one of its leaves; leaves hold few rows, and all of them."""
